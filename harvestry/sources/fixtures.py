@@ -137,16 +137,17 @@ def ref_temp(t: Tables) -> DataFrame:
 # small literal tables (model constants, grid, coefficients)
 # ---------------------------------------------------------------------------
 
-# --- fixed values: scenario presets (id, rain, temp, days, region, soil, weather, fert, irri)
+# --- fixed values: scenario presets (id, crop, rain, temp, days, region, soil, weather, fert, irri)
 SCENARIO_PRESETS = [
-    (1, 650.0, 22.0, 120, "East", "Loam", "Sunny", True, True),
-    (2, 250.0, 34.0, 100, "South", "Sandy", "Sunny", True, True),
-    (3, 1100.0, 14.0, 150, "North", "Clay", "Rainy", False, False),
-    (4, 1200.0, 28.0, 130, "South", "Clay", "Rainy", True, True),
-    (5, 400.0, 12.0, 240, "North", "Silt", "Cloudy", True, False),
-    (6, 500.0, 24.0, 100, "West", "Sandy", "Sunny", False, True),
-    (7, 0.0, 0.0, 60, "West", "Peaty", "Cloudy", False, False),
+    (1, "Maize", 650.0, 22.0, 120, "East", "Loam", "Sunny", True, True),
+    (2, "Rice", 250.0, 34.0, 100, "South", "Sandy", "Sunny", True, True),
+    (3, "Soybean", 1100.0, 14.0, 150, "North", "Clay", "Rainy", False, False),
+    (4, "Rice", 1200.0, 28.0, 130, "South", "Clay", "Rainy", True, True),
+    (5, "Wheat", 400.0, 12.0, 240, "North", "Silt", "Cloudy", True, False),
+    (6, "Soybean", 500.0, 24.0, 100, "West", "Sandy", "Sunny", False, True),
+    (7, "Maize", 0.0, 0.0, 60, "West", "Peaty", "Cloudy", False, False),
 ]
+SCENARIO_COLUMNS = ["scenario_id", "crop"] + D.CONDITION_COLUMNS
 
 # --- fixed values: linear model used for scoring tests ------------------------
 COEF_INTERCEPT = 46500.0
@@ -186,7 +187,7 @@ def benchmarks_df(spark: SparkSession) -> DataFrame:
 def scenario_presets_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(f"S{r[0]}",) + r[1:] for r in SCENARIO_PRESETS],
-        "scenario_id string, rainfall_mm double, temperature_celsius double, days_to_harvest int, "
+        "scenario_id string, crop string, rainfall_mm double, temperature_celsius double, days_to_harvest int, "
         "region string, soil_type string, weather_condition string, fertilizer_used boolean, "
         "irrigation_used boolean")
 
@@ -196,7 +197,7 @@ def scenarios(t: Tables, obs: DataFrame | None = None) -> DataFrame:
     obs = farm_obs(t) if obs is None else obs
     from_obs = obs.select(
         F.concat_ws("-", *[F.col(k).cast("string") for k in OBS_KEY]).alias("scenario_id"),
-        *D.CONDITION_COLUMNS)
+        "crop", *D.CONDITION_COLUMNS)
     return from_obs.unionByName(scenario_presets_df(t.spark))
 
 
@@ -273,10 +274,10 @@ def _sql_values(rows, cols):
 
 SQL_VIEWS["scenario_presets"] = _sql_values(
     [(f"S{r[0]}",) + r[1:] for r in SCENARIO_PRESETS],
-    ["scenario_id", "rainfall_mm", "temperature_celsius", "days_to_harvest", "region", "soil_type",
+    ["scenario_id", "crop", "rainfall_mm", "temperature_celsius", "days_to_harvest", "region", "soil_type",
      "weather_condition", "fertilizer_used", "irrigation_used"])
 SQL_VIEWS["scenarios"] = (
-    "select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as scenario_id, "
+    "select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as scenario_id, crop, "
     + ", ".join(D.CONDITION_COLUMNS) + " from farm_obs union all select * from scenario_presets")
 SQL_VIEWS["benchmarks"] = _sql_values(
     [(c, float(D.BENCHMARK_YIELD_HG_HA[c]), D.BENCHMARK_RAINFALL_MM, D.BENCHMARK_AVG_TEMP,
