@@ -40,6 +40,12 @@ class Comparison:
 def _norm(v, digits):
     if v is None:
         return None
+    try:
+        import pandas as pd
+        if v is pd.NA or v is pd.NaT:
+            return None
+    except Exception:  # pragma: no cover
+        pass
     try:
         import numpy as np
         if isinstance(v, np.generic):
