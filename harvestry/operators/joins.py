@@ -90,7 +90,8 @@ def clean_observations(df: DataFrame, target: str = "yield_tons_per_hectare") ->
     return df.where(~F.coalesce(F.col(target) < 0, F.lit(False)))
 
 
-def merge_datasets(obs: DataFrame, lookup: DataFrame, lookup_row_bound: int | None = None) -> DataFrame:
+def merge_datasets(obs: DataFrame, lookup: DataFrame, lookup_row_bound: int | None = None,
+                   keep: list[str] | None = None) -> DataFrame:
     """Clean observations, inner-join the reference lookup on crop, convert
     t/ha to hg/ha (2 digits) and pin the 15-column order.
 
@@ -102,6 +103,7 @@ def merge_datasets(obs: DataFrame, lookup: DataFrame, lookup_row_bound: int | No
     cy = clean_observations(obs)
     joined = cy.join(bounded_broadcast(lookup, bound), "crop", "inner")
     return joined.select(
+        *(keep or []),
         *[np_round(F.col("yield_tons_per_hectare") * F.lit(10000.0), 2).alias(c) if c == "yield_hg_ha"
           else F.col(c) for c in D.MERGED_COLUMNS])
 

@@ -60,6 +60,11 @@ class Catalog:
     def merged(self) -> DataFrame:
         return merge_datasets(self.farm_obs, self.lookup_ref_year)
 
+    @cached_property
+    def merged_keyed(self) -> DataFrame:
+        """The merged table with the observation key in front."""
+        return merge_datasets(self.farm_obs, self.lookup_ref_year, keep=FX.OBS_KEY)
+
     @cached_property
     def features(self) -> DataFrame:
         return build_features(self.merged)

@@ -53,6 +53,11 @@ view("merged", "select " + ", ".join(
     else (f"k.{c}" if c in ("year", "fao_yield_hg_ha", "fao_rainfall_mm", "fao_pesticides_tonnes", "fao_avg_temp")
           else f"o.{c}")
     for c in D.MERGED_COLUMNS) + " from obs_clean o join lookup_ref k on o.crop = k.crop")
+view("merged_keyed", "select " + ", ".join(f"o.{k}" for k in FX.OBS_KEY) + ", " + ", ".join(
+    f"{sql_np_round('o.yield_tons_per_hectare * 10000.0e0', 2)} as yield_hg_ha" if c == "yield_hg_ha"
+    else (f"k.{c}" if c in ("year", "fao_yield_hg_ha", "fao_rainfall_mm", "fao_pesticides_tonnes", "fao_avg_temp")
+          else f"o.{c}")
+    for c in D.MERGED_COLUMNS) + " from obs_clean o join lookup_ref k on o.crop = k.crop")
 _FSQL = merged_feature_sql()
 view("features", "select " + ", ".join(f"{_FSQL[f]} as {f}" for f in D.FEATURES)
      + ", yield_hg_ha from merged")
