@@ -1,3 +1,236 @@
-"""Queries: models."""
+"""Queries: models, evaluation and PCA (M1–M15, W5, X10–X15, S13, S14, S16,
+S17). Fitted models are not SQL-expressible, so these have row checks only;
+tree models run with the registry's ``quick`` settings (fewer, shallower
+trees) so that the smoke-size checks stay short; the published settings are
+the registry defaults (``quick=False``)."""
 
 from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from harvestry.functions import domains as D
+from harvestry.functions.features import build_features
+from harvestry.functions.numeric import np_round
+from harvestry.operators import models as M
+from harvestry.operators.ranking import mean_rank, sample_exact
+from harvestry.plans.registry import query
+from harvestry.session import shared_path
+from harvestry.sources import fixtures as FX
+
+QUICK = True
+
+
+def assembled(c):
+    key = F.concat_ws("-", *[F.col(k).cast("string") for k in FX.OBS_KEY]).alias("k")
+    feats = build_features(c.merged_keyed.select(key, *D.MERGED_COLUMNS), keep=["k"])
+    return M.assemble(feats, key="k")
+
+
+def train_test(c):
+    return M.split(assembled(c), "k")
+
+
+@query("model_registry", None, ops="M6")
+def q_model_registry(c):
+    return M.registry_frame(c.spark)
+
+
+def _train(name):
+    def run(c):
+        tr, te = train_test(c)
+        return M.train_model(M.SPECS[name], tr, te, quick=QUICK)
+    return run
+
+
+for _key, _name, _ops in [("train_ridge", "ridge", "M1"), ("train_random_forest", "random_forest", "M2"),
+                          ("train_hist_gbt", "hist_gradient_boosting", "M3"), ("train_gbt_sampled", "xgboost", "M4"),
+                          ("train_gbt_leaves", "lightgbm", "M5")]:
+    query(_key, None, ops=_ops)(_train(_name))
+
+
+@query("train_model", None, ops="M7 M9")
+def q_train_model(c):
+    """One model end to end: CV RMSE on the training part, fit, test metrics."""
+    tr, te = train_test(c)
+    spec = M.SPECS["ridge"]
+    cv = M.cv_rmse(spec, tr, "k", 5)
+    return M.train_model(spec, tr, te).join(cv, "model")
+
+
+@query("cv_rmse", None, ops="M9")
+def q_cv_rmse(c):
+    tr, _ = train_test(c)
+    return M.cv_rmse(M.SPECS["ridge"], tr, "k", 5)
+
+
+def train_all(c):
+    """M8: every registry model, best by test R²."""
+    tr, te = train_test(c)
+    tr, te = tr.cache(), te.cache()
+    out = None
+    for spec in M.REGISTRY:
+        row = M.train_model(spec, tr, te, quick=QUICK)
+        out = row if out is None else out.unionByName(row)
+    best = out.agg(F.max("r2")).scalar()
+    return out.withColumn("is_best", F.col("r2") == best)
+
+
+@query("train_all", None, ops="M8 O9")
+def q_train_all(c):
+    return train_all(c)
+
+
+@query("comparison_table", None, ops="M11")
+def q_comparison_table(c):
+    t = train_all(c)
+    return t.select("model", np_round("r2", 4).alias("r2"), np_round("rmse", 0).alias("rmse"),
+                    np_round("mae", 0).alias("mae"), np_round("mape", 2).alias("mape"), "fit_seconds", "is_best") \
+        .orderBy(F.desc("r2"))
+
+
+@query("model_ranking", None, ops="W5")
+def q_model_ranking(c):
+    from pyspark.sql import Window
+    t = train_all(c)
+    # one row per registry model: a global window over five rows
+    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "model")))
+
+
+@query("coef_importance", None, ops="M12")
+def q_coef_importance(c):
+    tr, _ = train_test(c)
+    model, _ = M.fit(M.SPECS["ridge"], tr)
+    return M.coef_importance(model, tr, 20)
+
+
+@query("tree_importance", None, ops="M13")
+def q_tree_importance(c):
+    tr, _ = train_test(c)
+    model, _ = M.fit(M.SPECS["random_forest"], tr, quick=QUICK)
+    return M.tree_importance(model, 20)
+
+
+@query("rf_proxy_importance", None, ops="M14 O6")
+def q_rf_proxy_importance(c):
+    data = sample_exact(assembled(c), 50_000, F.col("k"), 42)
+    spec = M.ModelSpec("rf_proxy", "random_forest", {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 1},
+                       quick={"n_estimators": 10})
+    model, _ = M.fit(spec, data, quick=QUICK)
+    pred = M.predictions(model, data)
+    r2 = M.regression_metrics(pred, "actual", "predicted").select("r2").scalar()
+    return M.tree_importance(model, len(D.FEATURES)).withColumn("train_r2", r2)
+
+
+@query("predictions", None, ops="M15")
+def q_predictions(c):
+    tr, te = train_test(c)
+    model, _ = M.fit(M.SPECS["ridge"], tr)
+    return M.predictions(model, te, keep=["k"])
+
+
+# ---------------------------------------------------------------------------
+# PCA
+# ---------------------------------------------------------------------------
+
+def _pca(c):
+    a = assembled(c)
+    return a, M.fit_pca(a)
+
+
+@query("pca_variance", None, ops="X10 W3")
+def q_pca_variance(c):
+    _, model = _pca(c)
+    return M.pca_variance(model)
+
+
+@query("pca_loadings", None, ops="X11")
+def q_pca_loadings(c):
+    _, model = _pca(c)
+    return M.pca_loadings(model)
+
+
+@query("pca_scores", None, ops="X12")
+def q_pca_scores(c):
+    a, model = _pca(c)
+    arr = vector_to_array(F.col("pcs"))
+    return model.transform(a).select("k", *[arr[i].alias(f"pc{i + 1}") for i in range(5)])
+
+
+@query("pca_table", None, ops="X13 O9")
+def q_pca_table(c):
+    a, model = _pca(c)
+    z = model.stages[0].transform(a).select(vector_to_array("z").alias("z"))
+    total = z.select(*[F.var_samp(F.col("z")[i]).alias(f"v{i}") for i in range(len(D.FEATURES))]).first()
+    return M.pca_table(model, float(sum(v or 0.0 for v in total)))
+
+
+@query("effective_rank", None, ops="X14 W4")
+def q_effective_rank(c):
+    _, model = _pca(c)
+    return M.effective_rank(model)
+
+
+@query("feature_ranking", None, ops="X15 W2")
+def q_feature_ranking(c):
+    from harvestry.operators import profiling as X
+    tr, _ = train_test(c)
+    rf, _ = M.fit(M.SPECS["random_forest"], tr, quick=QUICK)
+    imp = M.tree_importance(rf, len(D.FEATURES)).select("feature", "importance")
+    corr = X.corr_with_target(c.features, D.FEATURES, D.TARGET).select("feature", "abs_r")
+    mi = X.mutual_information(c.features, D.FEATURES, D.TARGET)
+    t = corr.join(F.broadcast(mi), "feature").join(F.broadcast(imp), "feature")  # 36 rows each
+    return mean_rank(t, "feature", ["abs_r", "mi", "importance"])
+
+
+# ---------------------------------------------------------------------------
+# model artefacts (sinks)
+# ---------------------------------------------------------------------------
+
+@query("model_roundtrip", None, ops="S13")
+def q_model_roundtrip(c):
+    tr, te = train_test(c)
+    model, _ = M.fit(M.SPECS["ridge"], tr)
+    path = shared_path(c.spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    a = M.predictions(model, te, keep=["k"]).select("k", F.col("predicted").alias("p_fitted"))
+    b = M.predictions(loaded, te, keep=["k"]).select("k", F.col("predicted").alias("p_loaded"))
+    return a.join(b, "k").withColumn("equal", F.col("p_fitted") == F.col("p_loaded"))
+
+
+@query("model_runs_table", None, ops="S14")
+def q_model_runs_table(c):
+    tr, te = train_test(c)
+    path = shared_path(c.spark, "model_runs")
+    for spec in M.REGISTRY[:2]:
+        m = M.train_model(spec, tr, te, quick=QUICK)
+        run = m.select(F.lit(spec.name).alias("model"),
+                       F.create_map(*[x for k, v in spec.params.items() for x in (F.lit(k), F.lit(str(v)))]).alias("params"),
+                       F.create_map(*[x for k in ("rmse", "mae", "r2", "mape", "fit_seconds")
+                                      for x in (F.lit(k), F.col(k).cast("double"))]).alias("metrics"))
+        run.write.mode("append").parquet(path)
+    return c.spark.read.parquet(path)
+
+
+@query("pca_outputs", None, ops="S16")
+def q_pca_outputs(c):
+    _, model = _pca(c)
+    path = shared_path(c.spark, "pca")
+    M.pca_loadings(model).write.mode("overwrite").parquet(f"{path}/loadings")
+    M.effective_rank(model).write.mode("overwrite").json(f"{path}/metrics")
+    return c.spark.read.parquet(f"{path}/loadings")
+
+
+@query("model_summary", None, ops="S17")
+def q_model_summary(c):
+    t = train_all(c)
+    best = t.agg(F.max_by("model", "r2").alias("best_model"))
+    nested = t.agg(F.collect_list(F.struct("model", "r2", "rmse", "mae", "mape")).alias("models"))
+    counts = assembled(c).agg(F.count(F.lit(1)).alias("n_rows"))
+    summary = best.select("best_model", nested.select("models").scalar().alias("models"),
+                          counts.select("n_rows").scalar().alias("n_rows"))
+    path = shared_path(c.spark, "model_summary")
+    summary.write.mode("overwrite").json(path)
+    return c.spark.read.json(path)
