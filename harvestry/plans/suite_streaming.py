@@ -1,3 +1,44 @@
-"""Queries: streaming."""
+"""Queries: streaming (T1–T2). The scenario batch is written to a landing
+folder, then consumed as a file stream; the answers equal the batch ones."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from harvestry.functions.numeric import sql_np_round
+from harvestry.operators import scoring as R
+from harvestry.operators.validation import sql_condition_reasons
+from harvestry.plans.registry import query
+from harvestry.plans.suite_quality import requests
+from harvestry.plans.suite_scoring import MODEL, _P
+from harvestry.session import shared_path
+from harvestry.streaming.scoring import stream_score, stream_validate
+
+
+def _land(df, c, name):
+    path = shared_path(c.spark, name)
+    # several files, so the stream sees several micro-batches
+    df.repartition(4).write.mode("overwrite").parquet(path)
+    return path, df.schema
+
+
+@query("stream_score", f"""
+select scenario_id, crop, {sql_np_round(_P, 1)} as predicted_yield_hg_ha, {R.sql_t(_P)} as predicted_yield_t_ha
+from valid_scen_crop""", ops="T1 R1")
+def q_stream_score(c):
+    src, schema = _land(c.scenarios, c, "landing_scenarios")
+    return stream_score(c.spark, src, schema, MODEL, shared_path(c.spark, "scored"),
+                        shared_path(c.spark, "chk_scored"))
+
+
+@query("stream_validate", f"""
+select scenario_id, crop, {sql_condition_reasons()} as reasons, {sql_condition_reasons()} = '' as accepted
+from requests""", ops="T2 Q10")
+def q_stream_validate(c):
+    src, schema = _land(requests(c), c, "landing_requests")
+    out = stream_validate(c.spark, src, schema, shared_path(c.spark, "accepted"), shared_path(c.spark, "rejected"),
+                          shared_path(c.spark, "chk_validate"))
+    return out.select("scenario_id", "crop", "reasons", "accepted")
+
+
+_ = F
