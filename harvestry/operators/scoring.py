@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from harvestry.functions import domains as D
 from harvestry.functions.features import (linear_score, linear_score_sql, serving_feature_columns,
                                           serving_feature_sql)
-from harvestry.functions.numeric import np_round, sql_np_round
+from harvestry.functions.numeric import case_map, np_round, sql_np_round
 from harvestry.operators.joins import crops_array, grid_array
 from harvestry.operators.validation import valid_condition
 
@@ -31,6 +31,23 @@ class LinearModel:
     def predict(self, feats: dict[str, Column], clip: bool = True) -> Column:
         return linear_score(feats, self.coefs, self.intercept, clip)
 
+    def term(self, name: str, x: Column) -> Column | None:
+        """One feature's contribution ``coef * (x - mean) / std`` (None if 0)."""
+        for f, mean, std, coef in self.coefs:
+            if f == name:
+                return None if coef == 0.0 else F.lit(float(coef)) * ((x - F.lit(float(mean))) / F.lit(float(std)))
+        return None
+
+    def sum_terms(self, terms: dict[str, Column | None], clip: bool = True) -> Column:
+        """Intercept plus the given terms, added in feature order (the same
+        order as ``predict``, so the result is bit-identical)."""
+        acc = F.lit(float(self.intercept))
+        for f, _, _, coef in self.coefs:
+            t = terms.get(f)
+            if coef != 0.0 and t is not None:
+                acc = acc + t
+        return F.greatest(acc, F.lit(0.0)) if clip else acc
+
     def predict_sql(self, feats: dict[str, str], clip: bool = True) -> str:
         return linear_score_sql(feats, self.coefs, self.intercept, clip)
 
@@ -76,43 +93,74 @@ def predict_yield(scenarios: DataFrame, model, keep: list[str] | None = None) ->
 # R2 recommend (rank the four crops)
 # ---------------------------------------------------------------------------
 
-def crop_candidates(model) -> Column:
-    """Array of one struct per crop, sorted by (rounded prediction desc, crop).
+CROP_DEPENDENT = {"fao_yield_hg_ha", "water_stress", "heat_stress", "gdd_proxy",
+                  *[f"crop_{c}" for c in D.CROPS]}
+SHARED_PREFIX = "_cf_"
+
 
-    Each crop's prediction is its own expression with the crop as a literal,
-    so Catalyst folds the per-crop constants; ``sort_array`` is code-generated.
+def with_crop_scores(df: DataFrame, model, keep: list[str]) -> DataFrame:
+    """Adds ``_p0.._p3`` (prediction per crop, clipped) and ``_r0.._r3``
+    (rank 1..4 by rounded prediction desc, ties in crop order).
+
+    The crop-independent model terms are projected once as columns; each
+    crop's score then adds them in feature order with its own crop-dependent
+    terms, so each generated method stays small (JIT-compilable) and the
+    result is bit-identical to scoring the full feature vector. Ranks are
+    pairwise comparisons of four numbers: no sort, no shuffle.
     """
-    items = []
-    for i, crop in enumerate(D.CROPS):
-        p = model.predict(scenario_features(F.lit(crop)))
-        p1 = np_round(p, 1)
-        items.append(F.struct(
-            (-p1).alias("neg_pred"), F.lit(i).alias("crop_pos"), F.lit(crop).alias("crop"),
-            p1.alias("predicted_yield_hg_ha"), hg_to_t(p).alias("predicted_yield_t_ha"),
-            np_round(F.abs(F.col("rainfall_mm") - F.lit(D.CROP_OPTIMAL_RAINFALL_MM[crop]))
-                     / F.lit(D.CROP_OPTIMAL_RAINFALL_MM[crop]), 4).alias("water_stress"),
-            np_round(F.greatest(F.col("temperature_celsius") - F.lit(D.CROP_MAX_TEMP_C[crop]), F.lit(0.0)), 3)
-            .alias("heat_stress"),
-            F.lit(float(D.BENCHMARK_YIELD_HG_HA[crop])).alias("fao_benchmark_hg_ha"),
-        ))
-    return F.sort_array(F.array(*items), asc=True)
-
-
-RANK_FIELDS = ["crop", "predicted_yield_hg_ha", "predicted_yield_t_ha", "water_stress", "heat_stress",
-               "fao_benchmark_hg_ha"]
+    feats = scenario_features(F.lit(D.CROPS[0]))
+    shared = {n: model.term(n, e) for n, e in feats.items() if n not in CROP_DEPENDENT}
+    shared = {n: t for n, t in shared.items() if t is not None}
+    base = df.select(*keep, "rainfall_mm", "temperature_celsius", "days_to_harvest",
+                     *[t.alias(SHARED_PREFIX + n) for n, t in shared.items()])
+    scores = []
+    for crop in D.CROPS:
+        cf = scenario_features(F.lit(crop))
+        terms = {n: (model.term(n, cf[n]) if n in CROP_DEPENDENT else
+                     (F.col(SHARED_PREFIX + n) if n in shared else None)) for n in cf}
+        scores.append(model.sum_terms(terms))
+    sc = base.select(*keep, "rainfall_mm", "temperature_celsius", *[p.alias(f"_p{k}") for k, p in enumerate(scores)])
+    p1 = [np_round(f"_p{k}", 1) for k in range(len(D.CROPS))]
+    ranks = []
+    for k in range(len(D.CROPS)):
+        r = F.lit(1)
+        for j in range(len(D.CROPS)):
+            if j != k:
+                before = (p1[j] > p1[k]) | ((p1[j] == p1[k]) & F.lit(j < k))
+                r = r + F.when(before, F.lit(1)).otherwise(F.lit(0))
+        ranks.append(r.alias(f"_r{k}"))
+    return sc.select("*", *ranks)
+
+
+def _pick(prefix: str, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.col(f"{prefix}{k}") for k in range(len(D.CROPS))]), idx + 1)
+
+
+def crop_rank_rows(scored: DataFrame, keep: list[str]) -> DataFrame:
+    """Four rows per scenario from ``with_crop_scores`` output."""
+    ex = scored.select("*", F.explode(F.array(*[F.lit(k) for k in range(len(D.CROPS))])).alias("_ci"))
+    crop = F.element_at(F.array(*[F.lit(c) for c in D.CROPS]), F.col("_ci") + 1)
+    p = _pick("_p", F.col("_ci"))
+    opt = case_map(crop, D.CROP_OPTIMAL_RAINFALL_MM)
+    tmax = case_map(crop, D.CROP_MAX_TEMP_C)
+    bench = case_map(crop, {k: float(v) for k, v in D.BENCHMARK_YIELD_HG_HA.items()})
+    return ex.select(*keep, _pick("_r", F.col("_ci")).cast("int").alias("rank"), crop.alias("crop"),
+                     np_round(p, 1).alias("predicted_yield_hg_ha"), hg_to_t(p).alias("predicted_yield_t_ha"),
+                     np_round(F.abs(F.col("rainfall_mm") - opt) / opt, 4).alias("water_stress"),
+                     np_round(F.greatest(F.col("temperature_celsius") - tmax, F.lit(0.0)), 3).alias("heat_stress"),
+                     bench.alias("fao_benchmark_hg_ha"))
+
 
 
 def recommend_crops(scenarios: DataFrame, model, keep: list[str] | None = None) -> DataFrame:
     """R2: four rows per valid scenario with ``rank`` 1..4."""
     keep = keep or ["scenario_id"]
-    ranked = (scenarios.where(valid_condition())
-              .select(*keep, F.posexplode(crop_candidates(model)).alias("_pos", "_c")))
-    return ranked.select(*keep, (F.col("_pos") + 1).cast("int").alias("rank"),
-                         *[F.col(f"_c.{f}").alias(f) for f in RANK_FIELDS])
+    return crop_rank_rows(with_crop_scores(scenarios.where(valid_condition()), model, keep), keep)
 
 
 def recommend_json(requests_json: DataFrame, model, json_col: str = "request") -> DataFrame:
-    """Nested JSON request in, nested JSON ranking out (row-local)."""
+    """Nested JSON request in, nested JSON ranking out. The ranking is
+    regrouped with ``collect_list`` per scenario (four rows per group)."""
     schema = ("scenario_id string, conditions struct<rainfall_mm:double, temperature_celsius:double, "
               "days_to_harvest:int, region:string, soil_type:string, weather_condition:string, "
               "fertilizer_used:boolean, irrigation_used:boolean>")
@@ -120,11 +168,12 @@ def recommend_json(requests_json: DataFrame, model, json_col: str = "request") -
     flat = parsed.select("req.scenario_id", "req.conditions.*").withColumns({
         "fertilizer_used": F.coalesce("fertilizer_used", F.lit(True)),
         "irrigation_used": F.coalesce("irrigation_used", F.lit(True))})
-    cands = crop_candidates(model)
-    ranked = F.transform(cands, lambda x, i: F.struct(
-        (i + 1).alias("rank"), *[x[f].alias(f) for f in RANK_FIELDS]))
-    return flat.where(valid_condition()).select(
-        "scenario_id", F.to_json(F.struct(ranked.alias("rankings"))).alias("response"))
+    scored = with_crop_scores(flat.where(valid_condition()), model, ["scenario_id"])
+    rows = F.array(*[F.struct(F.col(f"_r{k}").alias("rank"), F.lit(c).alias("crop"),
+                              np_round(f"_p{k}", 1).alias("predicted_yield_hg_ha"),
+                              hg_to_t(F.col(f"_p{k}")).alias("predicted_yield_t_ha"))
+                     for k, c in enumerate(D.CROPS)])
+    return scored.select("scenario_id", F.to_json(F.struct(F.sort_array(rows).alias("rankings"))).alias("response"))
 
 
 # ---------------------------------------------------------------------------
@@ -208,10 +257,11 @@ def optimize_curve(scenarios: DataFrame, model, keep: list[str] | None = None) -
 def compare_scenarios(scenarios: DataFrame, model, keep: list[str] | None = None) -> DataFrame:
     """Per scenario the top crop, its yield and the full ranking order."""
     keep = keep or ["scenario_id"]
-    c = crop_candidates(model)
-    return scenarios.where(valid_condition()).select(
-        *keep, c[0]["crop"].alias("top_crop"), c[0]["predicted_yield_hg_ha"].alias("top_yield_hg_ha"),
-        F.array_join(F.transform(c, lambda x: x["crop"]), ">").alias("ranking"))
+    sc = with_crop_scores(scenarios.where(valid_condition()), model, keep)
+    order = F.sort_array(F.array(*[F.struct(F.col(f"_r{k}").alias("r"), F.lit(c).alias("crop"),
+                                            np_round(f"_p{k}", 1).alias("p1")) for k, c in enumerate(D.CROPS)]))
+    return sc.select(*keep, order[0]["crop"].alias("top_crop"), order[0]["p1"].alias("top_yield_hg_ha"),
+                     F.array_join(F.transform(order, lambda x: x["crop"]), ">").alias("ranking"))
 
 
 def sensitivity(scenarios: DataFrame, model, column: str, start: float, stop: float, step: float) -> DataFrame:

@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Whole-stage codegen emits methods above HotSpot's 8000-byte JIT limit for
+# wide projections (36 features, 4 crop scores); without this flag those
+# methods stay in the bytecode interpreter.
+JIT_OPTIONS = "-XX:-DontCompileHugeMethods"
+
+
 def build_session(master: str | None = None, partitions: int = 8, app: str = "harvestry") -> SparkSession:
     """Session for tests and the bench: AQE on, UI off, UTC."""
     builder = (
@@ -21,6 +27,8 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "ha
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HARVESTRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
+        .config("spark.executor.extraJavaOptions", JIT_OPTIONS)
     )
     if master:
         builder = builder.master(master)
