@@ -197,9 +197,21 @@ def optimize_best(scenarios: DataFrame, model, keep: list[str] | None = None) ->
     keep = keep or ["scenario_id", "crop"]
     carry = ["_rid", *keep, *[c for c in CONDITION_INPUTS if c not in keep], *MANAGEMENT]
     sc = scenarios.where(valid_condition(check_crop=True)).withColumn("_rid", F.monotonically_increasing_id())
-    g = sc.select(*carry, F.posexplode(grid_array()).alias("_gi", "_g"))
+    const_terms = {}
+    if hasattr(model, "term"):
+        # terms that do not depend on the management inputs: once per scenario
+        feats = scenario_features(F.col("crop"))
+        const_terms = {n: model.term(n, e) for n, e in feats.items() if n not in GRID_DEPENDENT}
+        const_terms = {n: t for n, t in const_terms.items() if t is not None}
+        sc = sc.select("*", *[t.alias("_gt_" + n) for n, t in const_terms.items()])
+    g = sc.select(*carry, *["_gt_" + n for n in const_terms], F.posexplode(grid_array()).alias("_gi", "_g"))
     fert, irri, days = F.col("_g.fertilizer_used"), F.col("_g.irrigation_used"), F.col("_g.days_to_harvest")
-    p = model.predict(scenario_features(F.col("crop"), fert=fert, irri=irri, days=days))
+    gfeats = scenario_features(F.col("crop"), fert=fert, irri=irri, days=days)
+    if const_terms:
+        p = model.sum_terms({n: (F.col("_gt_" + n) if n in const_terms else model.term(n, gfeats[n]))
+                             for n in gfeats})
+    else:
+        p = model.predict(gfeats)
     n_days = len(D.GRID_DAYS)
     key = (F.rint(p * F.lit(10.0)).cast("long") * F.lit(64) + F.when(fert, F.lit(32)).otherwise(F.lit(0))
            + F.when(irri, F.lit(16)).otherwise(F.lit(0)) + (F.lit(15) - (F.col("_gi") % n_days)))
@@ -229,6 +241,9 @@ def optimize_best(scenarios: DataFrame, model, keep: list[str] | None = None) ->
 
 
 MANAGEMENT = ["fertilizer_used", "irrigation_used", "days_to_harvest"]
+GRID_DEPENDENT = {"fertilizer_used", "irrigation_used", "days_to_harvest", "rainfall_x_fertilizer",
+                  "rainfall_x_irrigation", "temp_x_irrigation", "agro_intensity", "harvest_rainfall_rate",
+                  "gdd_proxy"}
 CONDITION_INPUTS = ["rainfall_mm", "temperature_celsius", "region", "soil_type", "weather_condition"]
 
 
@@ -266,20 +281,25 @@ def compare_scenarios(scenarios: DataFrame, model, keep: list[str] | None = None
 
 def sensitivity(scenarios: DataFrame, model, column: str, start: float, stop: float, step: float) -> DataFrame:
     """Partial-dependence sweep. For every level of ``column`` and every
-    crop, the mean prediction over all scenarios with ``column`` set to the
-    level. The sweep is a generator; the mean is a two-phase aggregate whose
-    shuffle carries one row per (level, crop) and partition."""
+    crop, the mean (and range) of the prediction over all scenarios with
+    ``column`` set to the level. The levels are a generator; the four crops
+    are scored as columns of one row; the aggregate is two-phase, so the
+    shuffle carries one row per level and partition."""
     levels = F.sequence(F.lit(start), F.lit(stop), F.lit(step))
     swept = (scenarios.where(valid_condition())
              .withColumn(column, F.explode(levels))
-             .withColumn(column, F.col(column).cast("double"))
-             .withColumn("crop", F.explode(crops_array())))
-    p = model.predict(scenario_features(F.col("crop")))
-    return (swept.groupBy(column, "crop")
-            .agg(np_round(F.avg(p), 4).alias("mean_predicted_yield_hg_ha"),
-                 np_round(F.min(p), 4).alias("min_predicted_yield_hg_ha"),
-                 np_round(F.max(p), 4).alias("max_predicted_yield_hg_ha"),
-                 F.count(F.lit(1)).alias("n_scenarios")))
+             .withColumn(column, F.col(column).cast("double")))
+    scored = with_crop_scores(swept, model, [column] if column not in ("rainfall_mm", "temperature_celsius") else [])
+    aggs = []
+    for k in range(len(D.CROPS)):
+        aggs += [F.avg(f"_p{k}").alias(f"m{k}"), F.min(f"_p{k}").alias(f"lo{k}"), F.max(f"_p{k}").alias(f"hi{k}")]
+    per = scored.groupBy(column).agg(F.count(F.lit(1)).alias("n_scenarios"), *aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("crop"), F.col(f"m{k}").alias("m"), F.col(f"lo{k}").alias("lo"),
+                              F.col(f"hi{k}").alias("hi")) for k, c in enumerate(D.CROPS)])
+    return per.select(column, "n_scenarios", F.inline(rows)).select(
+        column, "crop", np_round("m", 4).alias("mean_predicted_yield_hg_ha"),
+        np_round("lo", 4).alias("min_predicted_yield_hg_ha"), np_round("hi", 4).alias("max_predicted_yield_hg_ha"),
+        "n_scenarios")
 
 
 def predict_vs_benchmark(scenarios: DataFrame, model, keep: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ the registry defaults (``quick=False``)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -23,9 +24,12 @@ QUICK = True
 
 
 def assembled(c):
+    """The training table, persisted: every estimator makes several passes
+    over it (statistics, fit, evaluation). Identical plans share one cache
+    entry; a lost partition is recomputed from its lineage."""
     key = F.concat_ws("-", *[F.col(k).cast("string") for k in FX.OBS_KEY]).alias("k")
     feats = build_features(c.merged_keyed.select(key, *D.MERGED_COLUMNS), keep=["k"])
-    return M.assemble(feats, key="k")
+    return M.assemble(feats, key="k").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_test(c):
@@ -68,7 +72,6 @@ def q_cv_rmse(c):
 def train_all(c):
     """M8: every registry model, best by test R²."""
     tr, te = train_test(c)
-    tr, te = tr.cache(), te.cache()
     out = None
     for spec in M.REGISTRY:
         row = M.train_model(spec, tr, te, quick=QUICK)
