@@ -130,10 +130,10 @@ STD_COLS = ["rainfall_mm", "temperature_celsius", "days_to_harvest", "fao_pestic
 
 @query("standardize", "with s as (select " + ", ".join(
     f"avg({x}) as m_{x}, stddev_pop({x}) as s_{x}" for x in STD_COLS) + " from merged)\nselect crop, " + ", ".join(
-    f"{sql_np_round(f'({x} - m_{x}) / case when s_{x} = 0 then 1.0e0 else s_{x} end', 9)} as {x}" for x in STD_COLS)
+    f"{sql_np_round(f'({x} - m_{x}) / case when s_{x} = 0 then 1.0e0 else s_{x} end', 6)} as {x}" for x in STD_COLS)
        + " from merged, s", ops="X9")
 def q_standardize(c):
-    return X.standardize(c.merged, STD_COLS, keep=["crop"])
+    return X.standardize(c.merged, STD_COLS, keep=["crop"], digits=6)
 
 
 @query("scatter_extract", f"""

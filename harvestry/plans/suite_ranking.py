@@ -49,14 +49,15 @@ def q_mean_rank(c):
 
 view("var_share", """
 with v as (""" + "\nunion all ".join(f"select '{f}' as feature, var_pop({f}) as var from features" for f in FEATS) + """)
-select feature, var / sum(var) over () as share from v""")
+select feature, """ + sql_np_round("var / sum(var) over ()", 9) + """ as share from v""")
 
 
 def _var_share(c):
     from harvestry.operators.aggregates import long_format
     v = long_format(c.features, FEATS, "feature", "value").groupBy("feature").agg(F.var_pop("value").alias("var"))
     tot = v.agg(F.sum("var")).scalar()
-    return v.select("feature", (F.col("var") / tot).alias("share"))
+    # rounded, so equal-variance features tie exactly and order by name in every engine
+    return v.select("feature", np_round(F.col("var") / tot, 9).alias("share"))
 
 
 @query("cumulative_share", f"""
