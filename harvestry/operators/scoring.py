@@ -204,17 +204,22 @@ def optimize_best(scenarios: DataFrame, model, keep: list[str] | None = None) ->
         const_terms = {n: model.term(n, e) for n, e in feats.items() if n not in GRID_DEPENDENT}
         const_terms = {n: t for n, t in const_terms.items() if t is not None}
         sc = sc.select("*", *[t.alias("_gt_" + n) for n, t in const_terms.items()])
-    g = sc.select(*carry, *["_gt_" + n for n in const_terms], F.posexplode(grid_array()).alias("_gi", "_g"))
-    fert, irri, days = F.col("_g.fertilizer_used"), F.col("_g.irrigation_used"), F.col("_g.days_to_harvest")
-    gfeats = scenario_features(F.col("crop"), fert=fert, irri=irri, days=days)
-    if const_terms:
-        p = model.sum_terms({n: (F.col("_gt_" + n) if n in const_terms else model.term(n, gfeats[n]))
-                             for n in gfeats})
-    else:
-        p = model.predict(gfeats)
-    n_days = len(D.GRID_DAYS)
-    key = (F.rint(p * F.lit(10.0)).cast("long") * F.lit(64) + F.when(fert, F.lit(32)).otherwise(F.lit(0))
-           + F.when(irri, F.lit(16)).otherwise(F.lit(0)) + (F.lit(15) - (F.col("_gi") % n_days)))
+    # generator over the 15 day values; the four (fertiliser, irrigation)
+    # variants are columns of the same row, reduced with ``greatest``
+    g = sc.select(*carry, *["_gt_" + n for n in const_terms],
+                  F.posexplode(F.array(*[F.lit(d) for d in D.GRID_DAYS])).alias("_di", "_d"))
+    keys = []
+    for fert in D.GRID_FERTILIZER:
+        for irri in D.GRID_IRRIGATION:
+            gfeats = scenario_features(F.col("crop"), fert=F.lit(fert), irri=F.lit(irri), days=F.col("_d"))
+            if const_terms:
+                p = model.sum_terms({n: (F.col("_gt_" + n) if n in const_terms else model.term(n, gfeats[n]))
+                                     for n in gfeats})
+            else:
+                p = model.predict(gfeats)
+            keys.append(F.rint(p * F.lit(10.0)).cast("long") * F.lit(64)
+                        + F.lit((32 if fert else 0) + (16 if irri else 0)) + (F.lit(15) - F.col("_di")))
+    key = F.greatest(*keys)
     best = g.groupBy(*carry).agg(F.max(key).alias("_key"))
     day_idx = F.lit(15) - (F.col("_key") % 16)
     dec = best.select(*carry,
