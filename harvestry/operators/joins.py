@@ -46,7 +46,7 @@ def impute_with_median(df: DataFrame, column: str, median_of: DataFrame | None =
 def build_reference_lookup(ref_yield: DataFrame, ref_pest: DataFrame, ref_rain: DataFrame,
                            ref_temp: DataFrame, *, country_yield: str, country_pest: str,
                            country_rain: str, country_temp: str, year_start: int, year_end: int,
-                           item_map: dict[str, str] | None = None) -> DataFrame:
+                           item_map: dict[str, str] | None = None, materialize: bool = True) -> DataFrame:
     """One row per (crop, year) with the four reference values.
 
     Each source is filtered to its own spelling of the country; temperature is
@@ -71,6 +71,11 @@ def build_reference_lookup(ref_yield: DataFrame, ref_pest: DataFrame, ref_rain:
     merged = (y.join(bounded_broadcast(p, years), "year", "left")
                .join(bounded_broadcast(r, years), "year", "left")
                .join(bounded_broadcast(t, years), "year", "left"))
+    if materialize:
+        # at most items x years rows: written once to the shared checkpoint
+        # folder, so the post-join median and the final projection read this
+        # small table instead of re-scanning the large sources
+        merged = merged.checkpoint(eager=True)
     merged = impute_with_median(merged, "fao_rainfall_mm")
     return (
         merged.where(F.col("fao_crop").isin(list(item_map)))
