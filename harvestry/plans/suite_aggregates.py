@@ -110,7 +110,7 @@ _CAT = ["crop", "region", "soil_type", "weather_condition"]
 def _describe_cat_sql(cols):
     parts = []
     for v in cols:
-        parts.append(f"""select '{v}' as "column", sum(freq) as count, count(*) as "unique",
+        parts.append(f"""select '{v}' as "column", cast(sum(freq) as bigint) as count, count(*) as "unique",
   arg_min(value, struct_pack(nf := -freq, v := value)) as top, max(freq) as freq
 from (select {v} as value, count(*) as freq from merged where {v} is not null group by {v})""")
     return "\nunion all ".join(parts)
