@@ -207,7 +207,7 @@ def q_model_roundtrip(c):
 def q_model_runs_table(c):
     tr, te = train_test(c)
     path = shared_path(c.spark, "model_runs")
-    for spec in M.REGISTRY[:2]:
+    for spec in M.REGISTRY:
         m = M.train_model(spec, tr, te, quick=QUICK)
         run = m.select(F.lit(spec.name).alias("model"),
                        F.create_map(*[x for k, v in spec.params.items() for x in (F.lit(k), F.lit(str(v)))]).alias("params"),
@@ -231,9 +231,10 @@ def q_model_summary(c):
     t = train_all(c)
     best = t.agg(F.max_by("model", "r2").alias("best_model"))
     nested = t.agg(F.collect_list(F.struct("model", "r2", "rmse", "mae", "mape")).alias("models"))
-    counts = assembled(c).agg(F.count(F.lit(1)).alias("n_rows"))
+    tr, te = train_test(c)
     summary = best.select("best_model", nested.select("models").scalar().alias("models"),
-                          counts.select("n_rows").scalar().alias("n_rows"))
+                          tr.agg(F.count(F.lit(1))).scalar().alias("n_train"),
+                          te.agg(F.count(F.lit(1))).scalar().alias("n_test"))
     path = shared_path(c.spark, "model_summary")
     summary.write.mode("overwrite").json(path)
     return c.spark.read.json(path)
