@@ -259,12 +259,28 @@ def config_label(fert: Column, irri: Column) -> Column:
 
 
 def optimize_curve(scenarios: DataFrame, model, keep: list[str] | None = None) -> DataFrame:
-    """Every grid point with its prediction and configuration label."""
+    """Every grid point with its prediction and configuration label.
+
+    Terms that do not depend on the management inputs are projected once per
+    scenario before the grid generator, so each grid row only adds its own
+    nine terms (same feature order, so bit-identical to the full score)."""
     keep = keep or ["scenario_id", "crop"]
-    cand = (scenarios.where(valid_condition(check_crop=True))
-            .select(*keep, "rainfall_mm", "temperature_celsius", "region", "soil_type", "weather_condition",
-                    F.inline(grid_array())))
-    p = model.predict(scenario_features(F.col("crop")))
+    cols = [*keep, *[c for c in ("crop", "rainfall_mm", "temperature_celsius", "region", "soil_type",
+                                 "weather_condition") if c not in keep]]
+    valid = scenarios.where(valid_condition(check_crop=True))
+    const_terms = {}
+    if hasattr(model, "term"):
+        feats = scenario_features(F.col("crop"))
+        const_terms = {n: model.term(n, e) for n, e in feats.items() if n not in GRID_DEPENDENT}
+        const_terms = {n: t for n, t in const_terms.items() if t is not None}
+        valid = valid.select(*cols, *[t.alias("_gt_" + n) for n, t in const_terms.items()])
+    cand = valid.select(*cols, *["_gt_" + n for n in const_terms], F.inline(grid_array()))
+    gfeats = scenario_features(F.col("crop"))
+    if const_terms:
+        p = model.sum_terms({n: (F.col("_gt_" + n) if n in const_terms else model.term(n, gfeats[n]))
+                             for n in gfeats})
+    else:
+        p = model.predict(gfeats)
     return cand.select(*keep, "fertilizer_used", "irrigation_used", "days_to_harvest",
                        config_label(F.col("fertilizer_used"), F.col("irrigation_used")).alias("config"),
                        np_round(p, 1).alias("predicted_yield_hg_ha"), hg_to_t(p).alias("predicted_yield_t_ha"))
