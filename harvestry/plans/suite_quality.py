@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harvestry.functions import domains as D
 from harvestry.functions.numeric import sql_np_round
 from harvestry.operators import quality as Q
-from harvestry.operators.joins import bounded_broadcast, clean_observations, impute_with_median
+from harvestry.operators.joins import bounded_broadcast, impute_with_median
 from harvestry.operators.validation import sql_condition_reasons, validate
 from harvestry.plans.registry import query, view
 from harvestry.sources import fixtures as FX
@@ -229,5 +229,3 @@ from farm_obs""", ops="Q14")
 def q_negative_report(c):
     return Q.negative_report(c.farm_obs, "yield_tons_per_hectare")
 
-
-_ = clean_observations  # re-exported for the suite's readers

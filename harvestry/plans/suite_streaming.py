@@ -3,8 +3,6 @@ folder, then consumed as a file stream; the answers equal the batch ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from harvestry.functions.numeric import sql_np_round
 from harvestry.operators import scoring as R
 from harvestry.operators.validation import sql_condition_reasons
@@ -40,5 +38,3 @@ def q_stream_validate(c):
                           shared_path(c.spark, "chk_validate"))
     return out.select("scenario_id", "crop", "reasons", "accepted")
 
-
-_ = F
