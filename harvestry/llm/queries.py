@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import exact_dedup, mixing, quality, url_filter
+from harvestry.llm import exact_dedup, mixing, quality, simhash, url_filter
 from harvestry.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,12 @@ from d join k on d.source is not distinct from k.source"""
 @registered("op10_mixing", _mixing_sql())
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# -- 5: SimHash near-duplicates -----------------------------------------------------------------
+
+@registered("op5_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                         F.col("component").alias("component_id"))
