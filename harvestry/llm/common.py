@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvestry.session import shared_path
 
@@ -41,3 +42,8 @@ def words(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def schema_of(df: DataFrame) -> T.StructType:
+    """The schema of ``df`` with every column nullable, for the output of Python workers."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])

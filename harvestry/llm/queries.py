@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import exact_dedup, mixing, quality, simhash, url_filter
+from harvestry.llm import exact_dedup, mixing, packing, quality, simhash, token_count, url_filter
 from harvestry.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,26 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          F.col("component").alias("component_id"))
+
+
+# -- 8: token counts ----------------------------------------------------------------------------
+
+#: Fixed value: the tokenizer's <|endoftext|>, which no text encodes to.
+END_OF_DOCUMENT = 49407
+
+
+@registered("op8_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the flat file and place in it at which the scan found the document."""
+    flat = token_count.write_flat(table(spark, sf_dir, "documents"), END_OF_DOCUMENT)
+    counts = token_count.count_tokens(flat.filter("block is not null").select("file", "block", "tokens"), END_OF_DOCUMENT)
+    names = flat.filter("nth is not null").select("file", "nth", F.col("id").alias("doc_id"))
+    return names.join(counts, ["file", "nth"], "left").select("doc_id", "n_tokens", "file", "nth")
+
+
+# -- 9: packing ---------------------------------------------------------------------------------
+
+@registered("op9_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.llm.common import store
+from harvestry.llm.common import schema_of, store
 from harvestry.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -64,7 +64,7 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, seed: int = SEED, carry: tuple = ()) -> DataFrame:
     """(id, carried columns, fp); fp holds the 64 bits as a signed long."""
     slim = docs.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("text"))
-    schema = slim.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
+    schema = schema_of(slim.drop("text").withColumn("fp", F.lit(0).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
