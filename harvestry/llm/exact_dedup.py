@@ -66,6 +66,7 @@ def stream_state(spark: SparkSession, index_path: str, schema, state_dir: str) -
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each small store takes megabytes
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = (session.readStream.schema(schema).parquet(index_path)
              .groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min(_preference()).alias("best")))
