@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import exact_dedup, mixing, packing, quality, simhash, token_count, url_filter
+from harvestry.llm import (exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, substring_dedup,
+                           token_count, url_filter)
 from harvestry.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +197,39 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+# -- 3: license scans ---------------------------------------------------------------------------
+
+@registered("op3_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "n_matches")
+
+
+# -- 4: line deduplication ----------------------------------------------------------------------
+
+@registered("op4_line_dedup", r"""
+with l as (select doc_id, u.i as i, string_split(coalesce(text, ''), chr(10))[u.i] as line
+           from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key, count(distinct doc_id) as n, min(doc_id) as least from k where length(key) >= 10 group by key),
+d as (select k.*, coalesce(n > 1 and doc_id <> least, false) as dropped from k left join c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256
+from d group by doc_id""")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in two batches, so the second goes through the first one's filters."""
+    docs = table(spark, sf_dir, "documents")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    index = line_dedup.LineIndex().insert(docs.filter(half == 0)).insert(docs.filter(half == 1))
+    kept = line_dedup.drop_repeated_lines(docs, index)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# -- 7: substring deduplication -----------------------------------------------------------------
+
+@registered("op7_substring_dedup")
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
