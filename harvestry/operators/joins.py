@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from harvestry.functions import domains as D
 from harvestry.functions.numeric import case_map, np_round
+from harvestry.operators.quantiles import exact_quantiles
 
 # A side with at most this many rows (proved by its construction) is broadcast.
 BROADCAST_ROW_BOUND = 1_000_000
@@ -32,14 +33,15 @@ def filter_country_years(df: DataFrame, country: str, year_start: int, year_end:
     return df.where((F.col(country_col) == F.lit(country)) & F.col(year_col).between(year_start, year_end))
 
 
-def impute_with_median(df: DataFrame, column: str, median_of: DataFrame | None = None) -> DataFrame:
+def impute_with_median(df: DataFrame, column: str, median_of: DataFrame | None = None, few_rows: bool = False) -> DataFrame:
     """Q3/Q4: fill nulls with the exact median of ``median_of`` (default: ``df``).
 
-    The median is a scalar subquery, so the plan stays lazy and nothing is
-    collected to the driver.
+    The median is a scalar subquery and is not collected to the driver.
+    ``few_rows`` takes the built-in median, whose buffer holds every distinct
+    value in one task, for a frame known to be small.
     """
     src = df if median_of is None else median_of
-    med = src.agg(F.median(column)).scalar()
+    med = src.agg(F.median(column)).scalar() if few_rows else exact_quantiles(src, column, [0.5], [], ["m"]).scalar()
     return df.withColumn(column, F.coalesce(F.col(column), med))
 
 
@@ -61,11 +63,11 @@ def build_reference_lookup(ref_yield: DataFrame, ref_pest: DataFrame, ref_rain:
          .select("year", F.col("fao_pesticides_tonnes").try_cast("double").alias("fao_pesticides_tonnes")))
     r = (filter_country_years(ref_rain, country_rain, year_start, year_end)
          .select("year", F.col("fao_rainfall_mm").try_cast("double").alias("fao_rainfall_mm")))
-    r = impute_with_median(r, "fao_rainfall_mm")
+    r = impute_with_median(r, "fao_rainfall_mm", few_rows=True)  # one country's years
     t = (filter_country_years(ref_temp, country_temp, year_start, year_end)
          .groupBy("year")
          .agg(np_round(F.avg(F.col("avg_temp").try_cast("double")), 2).alias("fao_avg_temp")))
-    t = impute_with_median(t, "fao_avg_temp")
+    t = impute_with_median(t, "fao_avg_temp", few_rows=True)
     # every right side has at most one row per year of the range
     years = year_end - year_start + 1
     merged = (y.join(bounded_broadcast(p, years), "year", "left")
@@ -76,7 +78,7 @@ def build_reference_lookup(ref_yield: DataFrame, ref_pest: DataFrame, ref_rain:
         # folder, so the post-join median and the final projection read this
         # small table instead of re-scanning the large sources
         merged = merged.checkpoint(eager=True)
-    merged = impute_with_median(merged, "fao_rainfall_mm")
+    merged = impute_with_median(merged, "fao_rainfall_mm", few_rows=True)
     return (
         merged.where(F.col("fao_crop").isin(list(item_map)))
         .select(

@@ -68,15 +68,22 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     (two-phase), the marginals are sums over that small table. This is a
     plug-in estimator, not the k-NN estimator of the single-machine original.
     """
-    lf = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("__y")) \
-        .unpivot(["__y"], list(features), "feature", "value").where(F.col("value").isNotNull() & F.col("__y").isNotNull())
-    rng = lf.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                                    F.min("__y").alias("ylo"), F.max("__y").alias("yhi"))
-    # one row per feature: the join side is bounded by the feature count
-    binned = lf.join(F.broadcast(rng), "feature").select(
-        "feature", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bx"),
-        _bin(F.col("__y"), F.col("ylo"), F.col("yhi"), bins).alias("by"))
-    joint = binned.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
+    y = "__y"
+    data = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias(y)).where(F.col(y).isNotNull())
+    # one wide aggregate: the range of each feature and of the target where the feature is present
+    def span(f):
+        seen = F.when(F.col(f).isNotNull(), F.col(y))
+        return F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"), F.min(seen).alias("ylo"), F.max(seen).alias("yhi")).alias(f"__r_{f}")
+    ranges = data.agg(*[span(f) for f in features]).withColumn("__one", F.lit(1))
+    wide = data.withColumn("__one", F.lit(1)).join(F.broadcast(ranges), "__one")  # one row
+
+    def cell(f):
+        r = F.col(f"__r_{f}")
+        bx, by = _bin(F.col(f), r["lo"], r["hi"], bins), _bin(F.col(y), r["ylo"], r["yhi"], bins)
+        return F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), bx.alias("bx"), by.alias("by")))
+
+    joint = (wide.select(F.explode(F.array(*[cell(f) for f in features])).alias("c")).where(F.col("c").isNotNull())
+             .groupBy("c.feature", "c.bx", "c.by").agg(F.count(F.lit(1)).alias("nxy")))
     from pyspark.sql import Window
     wf = Window.partitionBy("feature")
     j = (joint.withColumn("n", F.sum("nxy").over(wf))
@@ -89,12 +96,13 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
 def residual_summary(pred: DataFrame, y: str, yhat: str, digits: int = 6) -> DataFrame:
     """Mean, population std, exact P5/P95 and max |residual|."""
     res = pred.select((F.col(y) - F.col(yhat)).alias("residual"))
-    q = exact_quantiles(res, "residual", [0.05, 0.95], [], ["p05", "p95"])
-    return res.agg(np_round(F.avg("residual"), digits).alias("mean"),
-                   np_round(F.stddev_pop("residual"), digits).alias("std"),
-                   np_round(F.max(F.abs("residual")), digits).alias("max_abs")).select(
-        "mean", "std", np_round(q.select("p05").scalar(), digits).alias("p05"),
-        np_round(q.select("p95").scalar(), digits).alias("p95"), "max_abs")
+    q = exact_quantiles(res, "residual", [0.05, 0.95], [], ["p05", "p95"]).withColumn("__one", F.lit(1))
+    moments = res.agg(np_round(F.avg("residual"), digits).alias("mean"),
+                      np_round(F.stddev_pop("residual"), digits).alias("std"),
+                      np_round(F.max(F.abs("residual")), digits).alias("max_abs")).withColumn("__one", F.lit(1))
+    # one row on each side
+    return moments.join(F.broadcast(q), "__one", "left").select(
+        "mean", "std", np_round("p05", digits).alias("p05"), np_round("p95", digits).alias("p95"), "max_abs")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -113,6 +121,7 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str, digits: int = 6)
     1.5 IQR (no outliers drawn)."""
     q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    # the quartiles have one row per group; AQE broadcasts them if they are small and splits hot groups if not
     j = df.select(*by, F.col(value).alias("__v")).join(q, list(by))
     lo_f = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi_f = F.col("q3") + F.lit(1.5) * F.col("iqr")
@@ -125,16 +134,15 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str, digits: int = 6)
 def standardize(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), digits: int = 9) -> DataFrame:
     """(x - mean) / population std; zero variance -> scale 1.
 
-    The statistics are scalar subqueries of one aggregate: no join, nothing
-    collected."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+    The statistics are one aggregate row, broadcast beside the data."""
+    stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns],
+                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns]).withColumn("__one", F.lit(1))
     out = []
     for c in columns:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
+        s = F.col(f"__s_{c}")
         scale = F.when(s == 0, F.lit(1.0)).otherwise(s)
-        out.append(np_round((F.col(c) - m) / scale, digits).alias(c))
-    return df.select(*keep, *out)
+        out.append(np_round((F.col(c) - F.col(f"__m_{c}")) / scale, digits).alias(c))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(stats), "__one").select(*keep, *out)
 
 
 def regression_metrics(pred: DataFrame, y: str, yhat: str, digits: int = 6) -> DataFrame:

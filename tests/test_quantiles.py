@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from harvestry.operators.quantiles import exact_quantiles, quantiles_builtin
+from harvestry.operators.quantiles import exact_quantiles, quantiles_builtin, value_counts_ranged
 
 
 def _same(a, b, keys):
@@ -31,3 +31,18 @@ def test_nulls_ignored_single_row(spark):
     df = spark.createDataFrame([("a", None), ("a", 3.0), ("b", 1.0)], "g string, x double")
     out = {r.g: r.q50 for r in exact_quantiles(df, "x", [0.5], ["g"]).collect()}
     assert out == {"a": 3.0, "b": 1.0}
+
+
+def test_hot_value_is_folded_before_the_shuffle(spark):
+    """One value in 90 % of the rows is one row of the range-partitioned counts; no partition holds more than its share."""
+    df = spark.range(0, 40000).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 > 0, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("x"))
+    counts = value_counts_ranged(df, "x", ["g"])
+    per_task = [r["count"] for r in counts.groupBy("__p").count().collect()]
+    assert sum(per_task) == 4001 and max(per_task) < 4 * 4000 / len(per_task) + 100  # 0, 10, ... and 5.0
+    assert counts.where("__x = 5.0").count() == 1
+    _same(exact_quantiles(df, "x", [0.05, 0.5, 0.95], ["g"]), quantiles_builtin(df, "x", [0.05, 0.5, 0.95], ["g"]), ["g"])
+
+
+def test_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 4.0), ("b", 1.0)], "g string, x double")
+    assert {r.g: r.q50 for r in exact_quantiles(df, "x", [0.5], ["g"]).collect()} == {None: 2.5, "b": 1.0}
