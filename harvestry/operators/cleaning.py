@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from harvestry.functions.numeric import case_map, clip_lower as _clip, np_round
-from harvestry.operators.joins import bounded_broadcast
 
 
 def normalize_columns(df: DataFrame, lower: bool = True) -> DataFrame:
@@ -54,17 +53,17 @@ def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping | DataFrame, out: str | None = None,
-               default=None, key: str = "key", value: str = "value", row_bound: int | None = None) -> DataFrame:
+               default=None, key: str = "key", value: str = "value") -> DataFrame:
     """Dictionary remap with an optional default.
 
     A literal dictionary becomes a CASE expression (constant-folded, no
-    join); a mapping table becomes a left join, broadcast only when its size
-    bound is known.
+    join); a mapping table becomes a left join whose strategy the planner picks
+    from the table's size.
     """
     out = out or column
     if isinstance(mapping, DataFrame):
         m = mapping.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
-        j = df.join(bounded_broadcast(m, row_bound), F.col(column) == F.col("__k"), "left")
+        j = df.join(m, F.col(column) == F.col("__k"), "left")
         v = F.coalesce(F.col("__v"), F.lit(default)) if default is not None else F.col("__v")
         return j.withColumn(out, v).drop("__k", "__v")
     return df.withColumn(out, case_map(column, mapping, default))

@@ -1,9 +1,9 @@
 """Joins: lookup joins, the reference-lookup builder (J8) and the merge.
 
-Broadcast policy: a side is broadcast only when its row count has a static
-bound (a closed category domain times a year range, a fixed grid). Every
-other join is left to the planner, where AQE converts it to a broadcast join
-only after measuring the real size of the shuffled side.
+Broadcast policy: no side is broadcast on trust. The planner and AQE broadcast
+a side whose size they know or have measured, and split skewed keys otherwise.
+The reference lookup is written to the checkpoint folder first, so its real
+size is known when the observations are joined to it.
 """
 
 from __future__ import annotations
@@ -15,18 +15,6 @@ from harvestry.functions import domains as D
 from harvestry.functions.numeric import case_map, np_round
 from harvestry.operators.quantiles import exact_quantiles
 
-# A side with at most this many rows (proved by its construction) is broadcast.
-BROADCAST_ROW_BOUND = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Broadcast ``df`` only when a static upper bound on its rows is known
-    and small; otherwise leave the choice to AQE's runtime statistics."""
-    if row_bound is not None and row_bound <= BROADCAST_ROW_BOUND:
-        return F.broadcast(df)
-    return df
-
-
 def filter_country_years(df: DataFrame, country: str, year_start: int, year_end: int,
                          country_col: str = "country", year_col: str = "year") -> DataFrame:
     """Equality + inclusive range filter (pushed to the scan / below aggregates)."""
@@ -68,11 +56,8 @@ def build_reference_lookup(ref_yield: DataFrame, ref_pest: DataFrame, ref_rain:
          .groupBy("year")
          .agg(np_round(F.avg(F.col("avg_temp").try_cast("double")), 2).alias("fao_avg_temp")))
     t = impute_with_median(t, "fao_avg_temp", few_rows=True)
-    # every right side has at most one row per year of the range
-    years = year_end - year_start + 1
-    merged = (y.join(bounded_broadcast(p, years), "year", "left")
-               .join(bounded_broadcast(r, years), "year", "left")
-               .join(bounded_broadcast(t, years), "year", "left"))
+    # years repeated in a source fan out, as in any left join
+    merged = y.join(p, "year", "left").join(r, "year", "left").join(t, "year", "left")
     if materialize:
         # at most items x years rows: written once to the shared checkpoint
         # folder, so the post-join median and the final projection read this
@@ -97,29 +82,26 @@ def clean_observations(df: DataFrame, target: str = "yield_tons_per_hectare") ->
     return df.where(~F.coalesce(F.col(target) < 0, F.lit(False)))
 
 
-def merge_datasets(obs: DataFrame, lookup: DataFrame, lookup_row_bound: int | None = None,
-                   keep: list[str] | None = None) -> DataFrame:
+def merge_datasets(obs: DataFrame, lookup: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Clean observations, inner-join the reference lookup on crop, convert
     t/ha to hg/ha (2 digits) and pin the 15-column order.
 
-    The lookup has one row per mapped crop for the reference year, so its
-    size is bounded by the crop domain and it is broadcast: the observation
-    table is never shuffled.
+    Any lookup will do: several years or rows of a crop fan out. The planner
+    broadcasts one that it knows to be small, and then the observations are not
+    shuffled.
     """
-    bound = lookup_row_bound if lookup_row_bound is not None else len(D.CROPS)
-    cy = clean_observations(obs)
-    joined = cy.join(bounded_broadcast(lookup, bound), "crop", "inner")
+    joined = clean_observations(obs).join(lookup, "crop", "inner")
     return joined.select(
         *(keep or []),
         *[np_round(F.col("yield_tons_per_hectare") * F.lit(10000.0), 2).alias(c) if c == "yield_hg_ha"
           else F.col(c) for c in D.MERGED_COLUMNS])
 
 
-def join_left_chain(left: DataFrame, rights: list[DataFrame], key: str, row_bounds=None) -> DataFrame:
+def join_left_chain(left: DataFrame, rights: list[DataFrame], key: str) -> DataFrame:
     """Chained left equi-joins on one key."""
     out = left
-    for i, r in enumerate(rights):
-        out = out.join(bounded_broadcast(r, (row_bounds or [None] * len(rights))[i]), key, "left")
+    for r in rights:
+        out = out.join(r, key, "left")
     return out
 
 

@@ -9,7 +9,8 @@ estimators; the only values brought to the driver are model parameters
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -30,10 +31,9 @@ class ModelSpec:
     name: str
     family: str
     params: dict
-    quick: dict = field(default_factory=dict)  # smaller settings for smoke-size runs
 
-    def estimator(self, n_rows: int | None = None, std_y: float | None = None, quick: bool = False):
-        p = {**self.params, **(self.quick if quick else {})}
+    def estimator(self, n_rows: int | None = None, std_y: float | None = None):
+        p = self.params
         if self.family == "ridge":
             # sklearn Ridge(alpha) on standardised features == Spark normal-equation
             # solver with regParam = alpha * std_pop(y) / n
@@ -53,34 +53,36 @@ class ModelSpec:
 
 
 # --- fixed values: published hyper-parameters of the five models -------------
+# Spark's trees grow by level and have no leaf count. lightgbm's 63 leaves
+# become a smallest leaf of 63 rows beside its depth of 8, and 255 bins.
 REGISTRY = [
     ModelSpec("ridge", "ridge", {"alpha": 10.0}),
-    ModelSpec("random_forest", "random_forest",
-              {"n_estimators": 100, "max_depth": 20, "min_samples_leaf": 5},
-              quick={"n_estimators": 10, "max_depth": 6}),
+    ModelSpec("random_forest", "random_forest", {"n_estimators": 100, "max_depth": 20, "min_samples_leaf": 5}),
     ModelSpec("hist_gradient_boosting", "gbt",
-              {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 8, "min_samples_leaf": 20, "max_bins": 255},
-              quick={"n_estimators": 10, "max_depth": 5}),
+              {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 8, "min_samples_leaf": 20, "max_bins": 255}),
     ModelSpec("xgboost", "gbt",
-              {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample": "0.8"},
-              quick={"n_estimators": 10, "max_depth": 5}),
+              {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample": "0.8"}),
     ModelSpec("lightgbm", "gbt",
-              {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 6, "subsample": 0.8, "colsample": "0.8"},
-              quick={"n_estimators": 10, "max_depth": 5}),
+              {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 8, "min_samples_leaf": 63, "max_bins": 255,
+               "subsample": 0.8, "colsample": "0.8"}),
 ]
 SPECS = {s.name: s for s in REGISTRY}
 
 
+def params_text(spec: ModelSpec) -> str:
+    return ", ".join(f"{k}={v}" for k, v in spec.params.items())
+
+
 def registry_frame(spark: SparkSession) -> DataFrame:
-    """M6 as a table: model, family, scale flag, parameters (map)."""
-    rows = [(s.name, s.family, s.family == "ridge", {k: str(v) for k, v in s.params.items()}) for s in REGISTRY]
-    return spark.createDataFrame(rows, "model string, family string, scale boolean, params map<string,string>")
+    """M6 as a table: model, family, scale flag, parameters."""
+    rows = [(s.name, s.family, s.family == "ridge", params_text(s)) for s in REGISTRY]
+    return spark.createDataFrame(rows, "model string, family string, scale boolean, params string")
 
 
 def assemble(features: DataFrame, key: str | None = None, feature_cols=None) -> DataFrame:
-    """Vector column ``features`` + ``label`` (+ the key)."""
+    """Vector column ``features`` + ``label`` (+ the key). A null feature is an error: no row is dropped silently."""
     cols = feature_cols or D.FEATURES
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     keep = [key] if key else []
     return va.transform(features).select(*keep, "features", F.col(D.TARGET).cast("double").alias("label"))
 
@@ -97,38 +99,51 @@ def label_stats(df: DataFrame) -> tuple[int, float]:
     return int(r["n"]), float(r["s"] or 0.0)
 
 
-def fit(spec: ModelSpec, train: DataFrame, quick: bool = False):
+def fit(spec: ModelSpec, train: DataFrame):
     n, s = label_stats(train) if spec.family == "ridge" else (None, None)
     t0 = time.time()
-    model = Pipeline(stages=[spec.estimator(n, s, quick)]).fit(train)
+    model = Pipeline(stages=[spec.estimator(n, s)]).fit(train)
     return model, time.time() - t0
 
 
+def used_params(model: PipelineModel) -> dict[str, str]:
+    """The settings of the fitted stage itself, as text, with the trees it holds."""
+    stage = model.stages[-1]
+    found = {p.name: str(v) for p, v in stage.extractParamMap().items() if not p.name.endswith("Col")}
+    if hasattr(stage, "getNumTrees"):
+        found["fitted_trees"] = str(stage.getNumTrees)
+        found["fitted_depth"] = str(max(t.depth for t in stage.trees))
+    return found
+
+
 def predictions(model: PipelineModel, df: DataFrame, keep=()) -> DataFrame:
     """Actual, predicted, residual."""
     return model.transform(df).select(*keep, F.col("label").alias("actual"), F.col("prediction").alias("predicted"),
                                       (F.col("label") - F.col("prediction")).alias("residual"))
 
 
-def train_model(spec: ModelSpec, train: DataFrame, test: DataFrame, quick: bool = False) -> DataFrame:
-    """M7: fit, predict, metrics -> one row."""
-    model, secs = fit(spec, train, quick)
+def score_model(name: str, model: PipelineModel, secs: float, test: DataFrame) -> DataFrame:
+    """M7's metrics row of a fitted model."""
     m = regression_metrics(predictions(model, test), "actual", "predicted")
-    return m.select(F.lit(spec.name).alias("model"), "rmse", "mae", "r2", "mape",
+    return m.select(F.lit(name).alias("model"), "rmse", "mae", "r2", "mape",
                     F.col("n").alias("n_test"), F.lit(round(secs, 3)).alias("fit_seconds"))
 
 
-def cv_rmse(spec: ModelSpec, data: DataFrame, key: str, folds: int = 5, quick: bool = False) -> DataFrame:
-    """M9: RMSE per fold (fold = md5(key) mod k) -> mean and population std."""
+def cv_rmse(spec: ModelSpec, data: DataFrame, key: str, folds: int = 5) -> DataFrame:
+    """M9: RMSE per fold (fold = md5(key) mod k) -> mean and population std.
+
+    The folds are fitted at the same time: each is a chain of short jobs that
+    leaves most of a cluster idle."""
     from harvestry.operators.ranking import fold_id
-    d = data.withColumn("fold", fold_id(F.col(key), folds, 42)).cache()
-    rows = []
-    for k in range(folds):
-        model, _ = fit(spec, d.where(F.col("fold") != k), quick)
+    d = data.withColumn("fold", fold_id(F.col(key), folds, 42))
+
+    def one(k):
+        model, _ = fit(spec, d.where(F.col("fold") != k))
         e = F.col("label") - F.col("prediction")
-        rmse = model.transform(d.where(F.col("fold") == k)).agg(F.sqrt(F.avg(e * e))).first()[0]
-        rows.append((k, float(rmse)))
-    d.unpersist()
+        return k, float(model.transform(d.where(F.col("fold") == k)).agg(F.sqrt(F.avg(e * e))).first()[0])
+
+    with ThreadPoolExecutor(folds) as pool:
+        rows = list(pool.map(one, range(folds)))
     per = data.sparkSession.createDataFrame(rows, "fold int, rmse double")
     return per.agg(F.lit(spec.name).alias("model"), np_round(F.avg("rmse"), 6).alias("cv_rmse_mean"),
                    np_round(F.stddev_pop("rmse"), 6).alias("cv_rmse_std"), F.count(F.lit(1)).alias("n_folds"))
@@ -165,8 +180,10 @@ def tree_importance(model: PipelineModel, top: int = 20) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def fit_pca(assembled: DataFrame, k: int | None = None):
-    """Standardise (mean 0, unit std) then PCA with all components. The 36 x
-    36 covariance is a distributed tree-aggregate; only it reaches the driver."""
+    """Standardise (mean 0, unit sample std) then PCA with all components. The
+    36 x 36 covariance is a distributed tree-aggregate; only it reaches the
+    driver. Components and shares do not depend on the std's divisor; scores and
+    eigenvalues are scaled to the population std where they are returned."""
     k = k or len(D.FEATURES)
     pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True),
                             PCA(k=k, inputCol="z", outputCol="pcs")])

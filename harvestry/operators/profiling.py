@@ -34,17 +34,21 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str, digits
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], digits: int = 9) -> DataFrame:
     """Lower triangle (i < j) of the Pearson matrix, long form."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    return pair_correlations(df, [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]], digits)
+
+
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], digits: int = 9) -> DataFrame:
+    """Pearson r of each pair of columns, one aggregate."""
     one = df.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("r"))
                      for a, b in pairs])
     return one.select(F.inline(rows)).select("feature_a", "feature_b", np_round("r", digits).alias("r"))
 
 
-def collinear_pairs(corr: DataFrame, perfect: float = 0.999, high: float = 0.9) -> DataFrame:
-    """Flag pairs by |r| (> 0.999 PERFECT, > 0.9 HIGH)."""
+def collinear_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], perfect: float = 0.999, high: float = 0.9) -> DataFrame:
+    """Every pair asked for, flagged by |r| (> 0.999 PERFECT, > 0.9 HIGH, else blank)."""
     a = F.abs(F.col("r"))
-    return corr.where(a > high).withColumn("flag", F.when(a > perfect, F.lit("PERFECT")).otherwise(F.lit("HIGH")))
+    return pair_correlations(df, pairs).withColumn("flag", F.when(a > perfect, F.lit("PERFECT")).when(a > high, F.lit("HIGH")).otherwise(F.lit("")))
 
 
 def corr_bands(corr: DataFrame, strong: float = 0.5, moderate: float = 0.2) -> DataFrame:

@@ -160,7 +160,7 @@ def recommend_crops(scenarios: DataFrame, model, keep: list[str] | None = None)
 
 def recommend_json(requests_json: DataFrame, model, json_col: str = "request") -> DataFrame:
     """Nested JSON request in, nested JSON ranking out. The ranking is
-    regrouped with ``collect_list`` per scenario (four rows per group)."""
+    an array in the scenario's own row."""
     schema = ("scenario_id string, conditions struct<rainfall_mm:double, temperature_celsius:double, "
               "days_to_harvest:int, region:string, soil_type:string, weather_condition:string, "
               "fertilizer_used:boolean, irrigation_used:boolean>")
@@ -169,10 +169,17 @@ def recommend_json(requests_json: DataFrame, model, json_col: str = "request") -
         "fertilizer_used": F.coalesce("fertilizer_used", F.lit(True)),
         "irrigation_used": F.coalesce("irrigation_used", F.lit(True))})
     scored = with_crop_scores(flat.where(valid_condition()), model, ["scenario_id"])
-    rows = F.array(*[F.struct(F.col(f"_r{k}").alias("rank"), F.lit(c).alias("crop"),
-                              np_round(f"_p{k}", 1).alias("predicted_yield_hg_ha"),
-                              hg_to_t(F.col(f"_p{k}")).alias("predicted_yield_t_ha"))
-                     for k, c in enumerate(D.CROPS)])
+
+    def entry(k, c):
+        opt, tmax = F.lit(D.CROP_OPTIMAL_RAINFALL_MM[c]), F.lit(D.CROP_MAX_TEMP_C[c])
+        return F.struct(F.col(f"_r{k}").alias("rank"), F.lit(c).alias("crop"),
+                        np_round(f"_p{k}", 1).alias("predicted_yield_hg_ha"),
+                        hg_to_t(F.col(f"_p{k}")).alias("predicted_yield_t_ha"),
+                        np_round(F.abs(F.col("rainfall_mm") - opt) / opt, 4).alias("water_stress"),
+                        np_round(F.greatest(F.col("temperature_celsius") - tmax, F.lit(0.0)), 3).alias("heat_stress"),
+                        F.lit(float(D.BENCHMARK_YIELD_HG_HA[c])).alias("fao_benchmark_hg_ha"))
+
+    rows = F.array(*[entry(k, c) for k, c in enumerate(D.CROPS)])
     return scored.select("scenario_id", F.to_json(F.struct(F.sort_array(rows).alias("rankings"))).alias("response"))
 
 
@@ -323,6 +330,18 @@ def sensitivity(scenarios: DataFrame, model, column: str, start: float, stop: fl
         "n_scenarios")
 
 
+def sensitivity_curve(seasons: DataFrame, model, column: str, start: float, stop: float, step: float,
+                      keep: list[str]) -> DataFrame:
+    """The curve of each base season: one row per season, level of
+    ``column`` and crop, all other conditions as in the season. Row-local."""
+    swept = (seasons.where(valid_condition()).withColumn(column, F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))))
+             .withColumn(column, F.col(column).cast("double")))
+    scored = with_crop_scores(swept, model, keep)
+    rows = F.array(*[F.struct(F.lit(c).alias("crop"), F.col(f"_p{k}").alias("p")) for k, c in enumerate(D.CROPS)])
+    return scored.select(*keep, column, F.inline(rows)).select(
+        *keep, column, "crop", np_round("p", 4).alias("predicted_yield_hg_ha"), hg_to_t(F.col("p")).alias("predicted_yield_t_ha"))
+
+
 def predict_vs_benchmark(scenarios: DataFrame, model, keep: list[str] | None = None) -> DataFrame:
     """Prediction, benchmark, delta % (1 digit) and t/ha."""
     keep = keep or ["scenario_id", "crop"]

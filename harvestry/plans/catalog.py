@@ -9,17 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from harvestry.functions import domains as D
 from harvestry.functions.features import build_features
 from harvestry.operators.joins import build_reference_lookup, merge_datasets
-from harvestry.session import ensure_checkpoint_dir
+from harvestry.session import ensure_checkpoint_dir, shared_path
 from harvestry.sources import fixtures as FX
 
 
+_CATALOGS: dict[tuple, "Catalog"] = {}
+
+
+def catalog_for(spark: SparkSession, sf_dir: str) -> "Catalog":
+    """The catalog of this session and folder, so that queries share its views and the written lookup."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    return _CATALOGS.setdefault(key, Catalog(spark, sf_dir))
+
+
 class Catalog:
-    """Lazily built DataFrames of the fixture views (no action is run here)."""
+    """Lazily built DataFrames of the fixture views.
+
+    Only ``lookup`` runs a job: the reference lookup is built and written once
+    for each year range, at its first use, and read from there by every query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
         self.tables = FX.Tables(spark, sf_dir)
+        self._lookups: dict[tuple[int, int], DataFrame] = {}
         ensure_checkpoint_dir(spark)
 
     def read(self, name: str) -> DataFrame:
@@ -46,6 +59,14 @@ class Catalog:
         return FX.ref_temp(self.tables)
 
     def lookup(self, year_start: int, year_end: int) -> DataFrame:
+        if (year_start, year_end) not in self._lookups:
+            built = self._build_lookup(year_start, year_end)
+            path = shared_path(self.spark, "lookup")
+            built.write.parquet(path)
+            self._lookups[year_start, year_end] = self.spark.read.schema(built.schema).parquet(path)
+        return self._lookups[year_start, year_end]
+
+    def _build_lookup(self, year_start: int, year_end: int) -> DataFrame:
         return build_reference_lookup(
             self.ref_yield, self.ref_pest, self.ref_rain, self.ref_temp,
             country_yield=FX.COUNTRY_LONG, country_pest=FX.COUNTRY_LONG,

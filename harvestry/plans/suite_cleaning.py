@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from harvestry.functions import domains as D
 from harvestry.functions.numeric import np_round, sql_np_round
 from harvestry.operators import cleaning as P
-from harvestry.operators.joins import bounded_broadcast, clean_observations, filter_country_years
+from harvestry.operators.joins import clean_observations, filter_country_years
 from harvestry.plans.registry import query
 from harvestry.sources import fixtures as FX
 
@@ -91,7 +92,7 @@ def q_filter_country_years(c):
 
 @query("filter_semi", "select * from farm_obs where crop in (select crop from lookup_ref)", ops="P9 J4")
 def q_filter_semi(c):
-    return c.farm_obs.join(bounded_broadcast(c.lookup_ref_year.select("crop"), len(D.CROPS)), "crop", "left_semi")
+    return c.farm_obs.join(c.lookup_ref_year.select("crop"), "crop", "left_semi")
 
 
 @query("map_values", """
@@ -108,8 +109,7 @@ select o.l_orderkey, o.l_linenumber, o.l_partkey, o.l_suppkey, o.crop,
        ops="P10 J3")
 def q_map_values_table(c):
     bench = FX.benchmarks_df(c.spark).select(F.col("crop").alias("key"), F.col("opt_rain").alias("value"))
-    return P.map_values(c.farm_obs.select(*FX.OBS_KEY, "crop"), "crop", bench, out="opt_rain", default=-1.0,
-                        row_bound=len(D.CROPS))
+    return P.map_values(c.farm_obs.select(*FX.OBS_KEY, "crop"), "crop", bench, out="opt_rain", default=-1.0)
 
 
 _ROUND = {"rainfall_mm": 1, "temperature_celsius": 0, "yield_hg_ha": -2}
@@ -180,7 +180,8 @@ def q_clip_lower(c):
                              P.clip_lower(F.col("fao_rainfall_mm") - F.lit(30.0), 0.0).alias("clipped"))
 
 
-@query("assemble_features", None, ops="P19")
+@query("assemble_features", "select [" + ", ".join(f"cast({f} as double)" for f in D.FEATURES)
+       + f"] as features, {D.TARGET} as label from features", ops="P19")
 def q_assemble_features(c):
-    va = VectorAssembler(inputCols=D.FEATURES, outputCol="features", handleInvalid="keep")
-    return va.transform(c.features).select("features", F.col(D.TARGET).alias("label"))
+    va = VectorAssembler(inputCols=D.FEATURES, outputCol="features", handleInvalid="error")
+    return va.transform(c.features).select(vector_to_array("features").alias("features"), F.col(D.TARGET).alias("label"))

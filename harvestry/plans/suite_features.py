@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from harvestry.functions import domains as D
@@ -38,7 +39,8 @@ def q_build_features(c):
     return c.features
 
 
-@query("feature_vector", None, ops="F19 P19")
+@query("feature_vector", "select [" + ", ".join(f"cast({f} as double)" for f in D.FEATURES)
+       + f"] as features_vec, {D.TARGET} from features", ops="F19 P19")
 def q_feature_vector(c):
     va = VectorAssembler(inputCols=D.FEATURES, outputCol="features_vec")
-    return va.transform(c.features).select("features_vec", F.col(D.TARGET))
+    return va.transform(c.features).select(vector_to_array("features_vec").alias("features_vec"), F.col(D.TARGET))

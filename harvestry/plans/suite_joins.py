@@ -77,7 +77,7 @@ def q_merge_datasets(c):
        "select o.l_orderkey, o.l_linenumber, o.l_partkey, o.l_suppkey, o.crop, k.fao_yield_hg_ha "
        "from farm_obs o join lookup_ref k on o.crop = k.crop", ops="J1")
 def q_join_inner_lookup(c):
-    lk = J.bounded_broadcast(c.lookup_ref_year.select("crop", "fao_yield_hg_ha"), len(D.CROPS))
+    lk = c.lookup_ref_year.select("crop", "fao_yield_hg_ha")
     return c.farm_obs.select(*FX.OBS_KEY, "crop").join(lk, "crop", "inner")
 
 
@@ -122,7 +122,7 @@ def q_compare_sources(c):
     from harvestry.functions.numeric import np_round
     a = c.merged.groupBy("crop").agg(F.avg("yield_hg_ha").alias("m_obs"))
     b = c.lookup(FX.YEAR_START, FX.YEAR_END).groupBy("crop").agg(F.avg("fao_yield_hg_ha").alias("m_ref"))
-    return a.join(J.bounded_broadcast(b, len(D.CROPS)), "crop").select(
+    return a.join(b, "crop").select(
         "crop", np_round("m_obs", 4).alias("obs_mean_hg_ha"), np_round("m_ref", 4).alias("ref_mean_hg_ha"),
         np_round(F.col("m_obs") / 10000.0, 6).alias("obs_mean_t_ha"),
         np_round(F.col("m_ref") / 10000.0, 6).alias("ref_mean_t_ha"))

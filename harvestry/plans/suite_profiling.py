@@ -40,8 +40,13 @@ def q_corr_with_target(c):
     return X.corr_with_target(c.features, FEATS, Y)
 
 
-CORR_COLS = ["rainfall_mm", "temperature_celsius", "days_to_harvest", "rainfall_anomaly", "rainfall_x_fertilizer",
-             "heat_moisture_ratio", "aridity_index", "water_stress", "gdd_proxy", "yield_hg_ha"]
+# --- fixed values: columns of the heat map, and the pairs looked at for collinearity
+CORR_COLS = ["rainfall_mm", "temperature_celsius", "days_to_harvest", "fertilizer_used", "irrigation_used", "fao_yield_hg_ha",
+             "rainfall_anomaly", "temp_anomaly", "rainfall_x_fertilizer", "rainfall_x_irrigation", "agro_intensity",
+             "heat_moisture_ratio", "aridity_index", "harvest_rainfall_rate", "water_stress", "heat_stress", "gdd_proxy",
+             "soil_quality_score", "yield_hg_ha"]
+COLLINEAR = [("rainfall_mm", "rainfall_anomaly"), ("temperature_celsius", "temp_anomaly"),
+             ("rainfall_mm", "rainfall_x_fertilizer"), ("rainfall_mm", "aridity_index"), ("agro_intensity", "rainfall_x_fertilizer")]
 _PAIRS = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
 view("corr_pairs", "\nunion all ".join(
     f"select '{a}' as feature_a, '{b}' as feature_b, "
@@ -54,11 +59,12 @@ def q_corr_matrix(c):
     return X.corr_matrix(c.features, CORR_COLS)
 
 
-@query("collinear_pairs", """
-select *, case when abs(r) > 0.999 then 'PERFECT' else 'HIGH' end as flag from corr_pairs where abs(r) > 0.9""",
-       ops="X3")
+@query("collinear_pairs", "\nunion all ".join(
+    f"select '{a}' as feature_a, '{b}' as feature_b, r, case when abs(r) > 0.999 then 'PERFECT' when abs(r) > 0.9 then 'HIGH' "
+    f"else '' end as flag from (select {sql_np_round(_safe_corr_sql(f'cast({a} as double)', f'cast({b} as double)'), 9)} as r from features)"
+    for a, b in COLLINEAR), ops="X3")
 def q_collinear_pairs(c):
-    return X.collinear_pairs(X.corr_matrix(c.features, CORR_COLS))
+    return X.collinear_pairs(c.features, COLLINEAR)
 
 
 @query("corr_bands", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harvestry.functions import domains as D
 from harvestry.functions.numeric import sql_np_round
 from harvestry.operators import quality as Q
-from harvestry.operators.joins import bounded_broadcast, impute_with_median
+from harvestry.operators.joins import impute_with_median
 from harvestry.operators.validation import sql_condition_reasons, validate
 from harvestry.plans.registry import query, view
 from harvestry.sources import fixtures as FX
@@ -119,20 +119,17 @@ def q_impute_group_median(c):
     return Q.impute_group_median(c.ref_rain, ["country"], "fao_rainfall_mm")
 
 
-_CATS = ["crop", "region", "soil_type", "weather_condition", "fertilizer_used", "irrigation_used"]
-
-
 @query("duplicate_count", f"""
-with g as (select count(*) as c from farm_obs group by {', '.join(_CATS)})
+with g as (select count(*) as c from merged group by {', '.join(D.MERGED_COLUMNS)})
 select cast(sum(c) as bigint) as n_rows, cast(sum(c - 1) as bigint) as n_duplicates,
   {sql_np_round('sum(c - 1) / sum(c) * 100.0e0', 4)} as pct_duplicates from g""", ops="Q6")
 def q_duplicate_count(c):
-    return Q.duplicate_count(c.farm_obs.select(*_CATS))
+    return Q.duplicate_count(c.merged)
 
 
-@query("drop_duplicates", f"select distinct {', '.join(_CATS)} from farm_obs", ops="Q7")
+@query("drop_duplicates", "select distinct * from merged", ops="Q7")
 def q_drop_duplicates(c):
-    return Q.drop_duplicates(c.farm_obs.select(*_CATS))
+    return Q.drop_duplicates(c.merged)
 
 
 view("ref_sparse", """
@@ -204,7 +201,7 @@ union all select 'keep_reference_crops', n_clean, n_crop, n_clean - n_crop,
   {sql_np_round('(n_clean - n_crop) / n_clean * 100.0e0', 4)} from s""", ops="Q13")
 def q_row_loss_report(c):
     from harvestry.functions.numeric import np_round
-    crops = bounded_broadcast(c.lookup_ref_year.select("crop", F.lit(True).alias("__has")), len(D.CROPS))
+    crops = c.lookup_ref_year.select("crop", F.lit(True).alias("__has"))
     o = c.farm_obs.join(crops, "crop", "left")
     keep = ~F.coalesce(F.col("yield_tons_per_hectare") < 0, F.lit(False))
     s = o.agg(F.count(F.lit(1)).alias("n_raw"), F.count(F.when(keep, 1)).alias("n_clean"),

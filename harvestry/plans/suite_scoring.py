@@ -148,6 +148,45 @@ def q_sensitivity_temperature(c):
     return R.sensitivity(c.scenarios, _model(c), "temperature_celsius", *D.SWEEP_TEMPERATURE)
 
 
+SEASON = ["region", "soil_type", "weather_condition"]
+
+
+def base_seasons(c):
+    """One season per region, soil and weather: mean rainfall, temperature and days, both inputs on."""
+    from harvestry.functions.numeric import np_round
+    from harvestry.operators.validation import valid_condition
+    return c.scenarios.where(valid_condition()).groupBy(*SEASON).agg(
+        np_round(F.avg("rainfall_mm"), 1).alias("rainfall_mm"), np_round(F.avg("temperature_celsius"), 1).alias("temperature_celsius"),
+        np_round(F.avg("days_to_harvest"), 0).cast("int").alias("days_to_harvest"),
+        F.lit(True).alias("fertilizer_used"), F.lit(True).alias("irrigation_used"))
+
+
+view("base_seasons", f"""
+select {', '.join(SEASON)}, {sql_np_round('avg(rainfall_mm)', 1)} as rainfall_mm, {sql_np_round('avg(temperature_celsius)', 1)} as temperature_celsius,
+  cast({sql_np_round('avg(days_to_harvest)', 0)} as int) as days_to_harvest, true as fertilizer_used, true as irrigation_used
+from valid_scen group by {', '.join(SEASON)}""")
+
+
+def _curve_sql(column: str, start, stop, step) -> str:
+    others = [x for x in D.CONDITION_COLUMNS if x != column]
+    p = R.sql_pred(MODEL, crop="k.k_crop")
+    return f"""
+with s as (select {', '.join(others)}, cast(lv as double) as {column}
+           from base_seasons, (select unnest(range({start}, {stop + step}, {step})) as lv)),
+x as (select s.region, s.soil_type, s.weather_condition, s.{column}, k.k_crop as crop, {p} as p from s, {_CROPS_SQL} k)
+select {', '.join(SEASON)}, {column}, crop, {sql_np_round('p', 4)} as predicted_yield_hg_ha, {R.sql_t('p')} as predicted_yield_t_ha from x"""
+
+
+@query("sensitivity_curve_rainfall", _curve_sql("rainfall_mm", *D.SWEEP_RAINFALL), ops="R7")
+def q_curve_rainfall(c):
+    return R.sensitivity_curve(base_seasons(c), _model(c), "rainfall_mm", *D.SWEEP_RAINFALL, keep=SEASON)
+
+
+@query("sensitivity_curve_temperature", _curve_sql("temperature_celsius", *D.SWEEP_TEMPERATURE), ops="R8")
+def q_curve_temperature(c):
+    return R.sensitivity_curve(base_seasons(c), _model(c), "temperature_celsius", *D.SWEEP_TEMPERATURE, keep=SEASON)
+
+
 _BENCH = "case crop " + " ".join(f"when '{k}' then {float(v)}e0" for k, v in D.BENCHMARK_YIELD_HG_HA.items()) + " end"
 
 
@@ -169,7 +208,19 @@ def q_pct_vs_benchmark(c):
     return c.merged.groupBy("crop").agg(np_round((m - b) / b * F.lit(100.0), 1).alias("pct_vs_benchmark"))
 
 
-@query("recommend_json", None, ops="R11")
+def _json_sql() -> str:
+    # a double under 0.001 is written as 5.0E-4
+    small = "case when water_stress > 0 and water_stress < 0.001 then cast(cast(round(water_stress * 10000) as int) as varchar) || '.0E-4' else cast(water_stress as varchar) end"
+    fields = [("rank", "rank"), ("crop", "'\"' || crop || '\"'"), ("predicted_yield_hg_ha", "predicted_yield_hg_ha"),
+              ("predicted_yield_t_ha", "predicted_yield_t_ha"), ("water_stress", small), ("heat_stress", "heat_stress"),
+              ("fao_benchmark_hg_ha", "fao_benchmark_hg_ha")]
+    entry = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields)
+    return f"""
+select scenario_id, '{{"rankings":[' || string_agg('{{' || {entry} || '}}', ',' order by rank) || ']}}' as response
+from ranked_crops group by scenario_id"""
+
+
+@query("recommend_json", _json_sql(), ops="R11")
 def q_recommend_json(c):
     req = c.scenarios.select(F.to_json(F.struct(
         "scenario_id", F.struct(*D.CONDITION_COLUMNS).alias("conditions"))).alias("request"))

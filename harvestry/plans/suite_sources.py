@@ -60,6 +60,10 @@ def premerged(c):
                     F.col("fao_pesticides_tonnes").alias("pesticides_tonnes"), "avg_temp")
 
 
+def export_premerged(c):
+    return L.write_csv(premerged(c), shared_path(c.spark, "raw_premerged"))
+
+
 view("premerged", f"""
 select y.country, y.fao_crop as crop, y.year, y.fao_yield_hg_ha as yield_hg_ha, r.fao_rainfall_mm as rainfall_mm,
   p.fao_pesticides_tonnes as pesticides_tonnes, t.avg_temp
@@ -108,8 +112,7 @@ def q_load_ref_temperature(c):
 
 @query("load_premerged", "select * from premerged", ops="S7 P6")
 def q_load_premerged(c):
-    path = L.write_csv(premerged(c), shared_path(c.spark, "raw_premerged"))
-    return L.load_premerged(c.spark, path).select("country", "crop", "year", "yield_hg_ha", "rainfall_mm",
+    return L.load_premerged(c.spark, export_premerged(c)).select("country", "crop", "year", "yield_hg_ha", "rainfall_mm",
                                                   "pesticides_tonnes", "avg_temp")
 
 
@@ -126,6 +129,7 @@ def _summary_sql(name, table, cols):
     _summary_sql("pesticides", "ref_pest", ["country", "year", "fao_pesticides_tonnes"]),
     _summary_sql("rainfall", "ref_rain", ["country", "year", "fao_rainfall_mm"]),
     _summary_sql("temperature", "ref_temp", ["country", "year", "avg_temp"]),
+    _summary_sql("premerged", "premerged", ["country", "crop", "year", "yield_hg_ha", "rainfall_mm", "pesticides_tonnes", "avg_temp"]),
 ]), ops="S8 A17")
 def q_load_all_summary(c):
     return L.table_summary({
@@ -134,6 +138,7 @@ def q_load_all_summary(c):
         "pesticides": L.load_ref_pesticides(c.spark, export_ref_pest(c)),
         "rainfall": L.load_ref_rainfall(c.spark, export_ref_rain(c)),
         "temperature": L.load_ref_temperature(c.spark, export_ref_temp(c)),
+        "premerged": L.load_premerged(c.spark, export_premerged(c)),
     })
 
 
@@ -143,6 +148,13 @@ def q_sink_roundtrip(c):
     return c.spark.read.parquet(path)
 
 
+def _constants_text() -> str:
+    """The agronomic constants behind the features, as name.key=value text."""
+    tables = {"CROP_OPTIMAL_RAINFALL_MM": D.CROP_OPTIMAL_RAINFALL_MM, "CROP_MAX_TEMP_C": D.CROP_MAX_TEMP_C,
+              "CROP_BASE_TEMP_C": D.CROP_BASE_TEMP_C, "SOIL_QUALITY_SCORE": D.SOIL_QUALITY_SCORE}
+    return ",".join(f"{n}.{k}={v}" for n, t in tables.items() for k, v in t.items())
+
+
 @query("metadata_sidecar", f"""
 select count(*) as rows, cast({len(D.MERGED_COLUMNS)} as bigint) as n_cols,
   '{",".join(D.MERGED_COLUMNS)}' as cols,
@@ -151,7 +163,9 @@ select count(*) as rows, cast({len(D.MERGED_COLUMNS)} as bigint) as n_cols,
      (select crop from farm_obs except select crop from merged)) as crops_excluded,
   array_to_string(list_sort(list(distinct cast(year as varchar))), ',') as years,
   'yield_hg_ha' as target,
-  cast(""" + " + ".join(f"(count(*) - count({x}))" for x in D.MERGED_COLUMNS) + """ as bigint) as total_nulls
+  cast(""" + " + ".join(f"(count(*) - count({x}))" for x in D.MERGED_COLUMNS) + """ as bigint) as total_nulls,
+  """ + " || ',' || ".join(f"'{x}=' || (count(*) - count({x}))" for x in D.MERGED_COLUMNS) + f""" as null_counts,
+  cast({len(D.FEATURES)} as bigint) as n_features, '{",".join(D.FEATURES)}' as feature_cols, '{_constants_text()}' as domain_constants
 from merged""", ops="S10")
 def q_metadata_sidecar(c):
     m = c.merged
@@ -166,7 +180,11 @@ def q_metadata_sidecar(c):
         F.lit(",".join(m.columns)).alias("cols"),
         F.array_join(F.array_sort(F.collect_set("crop")), ",").alias("crops"),
         F.array_join(F.array_sort(F.collect_set(F.col("year").cast("string"))), ",").alias("years"),
-        F.lit(D.TARGET).alias("target"), nulls.cast("long").alias("total_nulls"))
+        F.lit(D.TARGET).alias("target"), nulls.cast("long").alias("total_nulls"),
+        F.concat_ws(",", *[F.concat(F.lit(f"{x}="), F.sum(F.col(x).isNull().cast("long")).cast("string")) for x in m.columns])
+        .alias("null_counts"),
+        F.lit(len(D.FEATURES)).cast("long").alias("n_features"), F.lit(",".join(D.FEATURES)).alias("feature_cols"),
+        F.lit(_constants_text()).alias("domain_constants"))
     meta = meta.withColumn("crops_excluded", excluded.agg(
         F.array_join(F.array_sort(F.collect_set("crop")), ",")).scalar())
     path = shared_path(c.spark, "merged_meta")

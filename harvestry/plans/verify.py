@@ -9,7 +9,7 @@ import json
 import sys
 import time
 
-from harvestry.plans.catalog import Catalog
+from harvestry.plans.catalog import catalog_for
 from harvestry.plans.oracle import compare, duckdb_connect, run_oracle
 from harvestry.plans.registry import load_all, oracle_text
 from harvestry.session import build_session
@@ -27,7 +27,7 @@ def main(argv: list[str]) -> int:
             continue
         t0 = time.time()
         try:
-            sdf = q.build(Catalog(spark, sf_dir))
+            sdf = q.build(catalog_for(spark, sf_dir))
             spdf = sdf.toPandas()
             t1 = time.time()
             if q.sql is None:

@@ -41,12 +41,15 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "ha
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is; a local one is
-    only chosen when the setting is absent (tests on a laptop).
+    The folder named by ``spark.checkpoint.dir`` is used as is. Without that
+    setting a local folder is chosen in local mode only (tests on a laptop); on
+    a cluster it would not be shared, so its absence is an error.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = os.environ.get("HARVESTRY_CHECKPOINT_DIR", "/tmp/harvestry-checkpoints")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc.getCheckpointDir() is None:

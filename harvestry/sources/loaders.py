@@ -9,15 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from harvestry.operators.cleaning import coerce_numeric, normalize_columns, parse_boolean_columns
 
-REPLACEMENT_CHAR = "�"
-
-
 def write_csv(df: DataFrame, path: str, headers: Mapping[str, str] | None = None) -> str:
     """Write with a header row; ``headers`` renames columns to raw spellings."""
     out = df.select(*[F.col(c).alias(headers.get(c, c)) if headers else F.col(c) for c in df.columns])
@@ -25,36 +22,37 @@ def write_csv(df: DataFrame, path: str, headers: Mapping[str, str] | None = None
     return path
 
 
-def _has_replacement_chars(df: DataFrame) -> bool:
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if not text:
-        return False
-    cond = None
-    for c in text:
-        t = F.col(f"`{c}`").contains(REPLACEMENT_CHAR)
-        cond = t if cond is None else (cond | t)
-    return df.where(cond).limit(1).count() > 0
+def _utf8_or_latin1(text: Column) -> Column:
+    """A value read as Latin-1 holds its bytes one for one: decoded as UTF-8 if they are valid, else left as Latin-1."""
+    as_utf8 = F.encode(text, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(text)
+
+
+def _decode_name(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return name
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | None = None,
                    header: bool = True, sep: str = ",") -> DataFrame:
-    """Delimited scan with header. Spark decodes bad UTF-8 as U+FFFD
-    instead of failing, so the fallback is: if any text value holds U+FFFD,
-    read the whole file again as Latin-1 (one bounded probe job)."""
-    def read(enc):
-        r = spark.read.option("header", header).option("sep", sep).option("encoding", enc).option("mode", "PERMISSIVE")
-        return r.schema(schema).csv(path) if schema is not None else r.csv(path)
+    """Delimited scan with header, in one lazy pass.
 
-    df = read("UTF-8")
-    if _has_replacement_chars(df):
-        df = read("ISO-8859-1")
-    return df
+    The bytes are read as Latin-1, which loses nothing, and each text value is
+    decoded on its own: UTF-8 where its bytes are valid, Latin-1 where they are
+    not. Files of both kinds may lie in one folder, and a genuine U+FFFD stays."""
+    r = (spark.read.option("header", header).option("sep", sep).option("encoding", "ISO-8859-1")
+         .option("mode", "PERMISSIVE"))
+    df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
+    return df.select(*[(_utf8_or_latin1(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`"))
+                       .alias(f.name if schema is not None else _decode_name(f.name)) for f in df.schema.fields])
 
 
 def all_text_schema(spark: SparkSession, path: str) -> StructType:
     """Header names as an all-string schema (reads only the first line)."""
-    names = spark.read.option("header", True).csv(path).columns
-    return StructType([StructField(n, StringType()) for n in names])
+    names = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path).columns
+    return StructType([StructField(_decode_name(n), StringType()) for n in names])
 
 
 def load_text_table(spark: SparkSession, path: str) -> DataFrame:

@@ -39,9 +39,12 @@ def stream_validate(spark: SparkSession, source_dir: str, schema: StructType, ac
     checked = validate(stream).withColumn("reasons", F.concat_ws("; ", "reasons"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("batch_id", F.lit(batch_id))
-        b.where("is_valid").drop("is_valid").write.mode("overwrite").parquet(f"{accepted_dir}/batch_id={batch_id}")
-        b.where("not is_valid").drop("is_valid").write.mode("overwrite").parquet(f"{rejected_dir}/batch_id={batch_id}")
+        b = batch.withColumn("batch_id", F.lit(batch_id)).persist()  # read and checked once for the two sinks
+        try:
+            b.where("is_valid").drop("is_valid").write.mode("overwrite").parquet(f"{accepted_dir}/batch_id={batch_id}")
+            b.where("not is_valid").drop("is_valid").write.mode("overwrite").parquet(f"{rejected_dir}/batch_id={batch_id}")
+        finally:
+            b.unpersist()
 
     q = (checked.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
