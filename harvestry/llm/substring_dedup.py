@@ -32,7 +32,6 @@ from harvestry.llm.common import schema_of, store, whole_text
 
 WINDOW = 35
 GRAM = 8
-KNOWN = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -44,31 +43,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """Two 64-bit hashes per word, remembered (bounded), and hashes of word runs from prefix sums."""
+    """Two 64-bit hashes per word, and hashes of word runs from prefix sums."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 12, 2), np.uint64)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        at = list(map(self.known.get, words))
-        if None in at:
-            new = list(dict.fromkeys(w for w, k in zip(words, at) if k is None))
-            if len(self.known) + len(new) > KNOWN:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            start = len(self.known)
-            while start + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for k, w in enumerate(new, start):
-                self.known[w] = k
-                h = xxhash.xxh3_128_intdigest(w)
-                self.table[k] = (h >> 64, h & (1 << 64) - 1)
-            at = [self.known[w] for w in words]
-        return self.table[np.array(at, np.int64)]
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
 
     def runs(self, hashes: np.ndarray):
         """run(which, starts, lengths) -> hashes of the word runs at ``starts``."""
