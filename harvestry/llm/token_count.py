@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestry.llm.common import schema_of, store
-from harvestry.llm.tokens import WORD_BPE, TextEncoder
+from harvestry.llm.tokens import WORD_BPE, worker_encoder
 
 BLOCK_TOKENS = 1 << 16
 RUN = 4096
@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, separator: int, id_col: str = "doc_id", text_col
     schema = schema_of(slim.select("file", zero.alias("block"), F.lit(b"").alias("tokens"), zero.alias("nth"), "id"))
 
     def run(batches):
-        encoder = TextEncoder(tokenizer, specials_as_text=True)
+        encoder = worker_encoder(tokenizer, specials_as_text=True)
         kind, rest, block, nth, file = encoder.dtype(), np.zeros(0), 0, 0, None
         rest = rest.astype(kind)
 
