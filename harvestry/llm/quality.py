@@ -28,7 +28,7 @@ KEPT_BITS = 7
 MIN_GROUP = 50
 SPREADS = 4
 #: measure -> (margin above the median, margin below it or None for no lower limit)
-MARGINS = {"symbols": (200, None), "word_length": (500, 250), "dup_lines": (350, None), "repeats": (180, None)}
+MARGINS = {"symbols": (200, None), "word_length": (500, 250), "dup_lines": (350, None), "repeats": (200, None)}
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
