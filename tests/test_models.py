@@ -29,3 +29,69 @@ def test_ridge_matches_closed_form(spark):
 def test_registry_has_five_models(spark):
     assert [r.model for r in M.registry_frame(spark).collect()] == [
         "ridge", "random_forest", "hist_gradient_boosting", "xgboost", "lightgbm"]
+
+
+def _frame(spark, n=300):
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(n, 36)) @ np.diag(np.linspace(0.5, 3, 36))
+    y = X[:, 0] * 3 + X[:, 5] ** 2 + rng.normal(size=n)
+    schema = StructType([StructField("k", StringType()), StructField("features", VectorUDT()), StructField("label", DoubleType())])
+    return X, y, spark.createDataFrame([(str(i), Vectors.dense(x.tolist()), float(t)) for i, (x, t) in enumerate(zip(X, y))], schema)
+
+
+def test_estimators_have_the_published_settings():
+    """Every setting of the registry reaches the estimator; the five differ."""
+    got = {s.name: s.estimator(100, 1.0) for s in M.REGISTRY}
+    forest = got["random_forest"]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (100, 20, 5)
+    boosters = {n: (g.getMaxIter(), g.getStepSize(), g.getMaxDepth(), g.getMinInstancesPerNode(), g.getMaxBins(), g.getSubsamplingRate())
+                for n, g in got.items() if n not in ("ridge", "random_forest")}
+    assert boosters == {"hist_gradient_boosting": (200, 0.05, 8, 20, 255, 1.0), "xgboost": (200, 0.05, 6, 1, 32, 0.8),
+                        "lightgbm": (200, 0.05, 8, 63, 255, 0.8)}
+
+
+def test_run_log_reads_the_fitted_stage(spark):
+    _, _, df = _frame(spark)
+    spec = M.ModelSpec("small", "random_forest", {"n_estimators": 7, "max_depth": 3, "min_samples_leaf": 5})
+    model, _ = M.fit(spec, df)
+    used = M.used_params(model)
+    assert (used["numTrees"], used["maxDepth"], used["minInstancesPerNode"], used["fitted_trees"]) == ("7", "3", "5", "7")
+    imp = M.tree_importance(model, 36).collect()
+    assert len(imp) == 36 and abs(sum(r.importance for r in imp) - 1) < 1e-9
+
+
+def test_null_feature_is_an_error(spark):
+    import pytest
+    from harvestry.functions import domains as D
+    row = spark.range(1).selectExpr(*[f"cast(null as double) as {f}" for f in D.FEATURES], f"1.0 as {D.TARGET}")
+    with pytest.raises(Exception):
+        M.assemble(row).collect()
+
+
+def test_pca_rebuilds_the_correlation_matrix(spark):
+    X, _, df = _frame(spark)
+    model = M.fit_pca(df)
+    load = M.pca_loadings(model, 12).toPandas().pivot(index="feature", columns="component", values="loading")
+    from harvestry.functions import domains as D
+    V = load.loc[D.FEATURES].to_numpy()
+    share = [r.explained_variance_ratio for r in M.pca_variance(model).collect()]
+    n = len(X)
+    table = M.pca_table(model, 36.0 * n / (n - 1)).orderBy("component").collect()
+    rebuilt = V @ np.diag(np.array(share) * 36) @ V.T
+    assert np.abs(rebuilt - np.corrcoef(X.T)).max() < 1e-6
+    assert abs(table[0].eigenvalue - share[0] * 36 * n / (n - 1)) < 1e-9
+
+
+def test_cross_validation_and_round_trip(spark):
+    from pyspark.ml import PipelineModel
+    from harvestry.session import shared_path
+    _, _, df = _frame(spark)
+    cv = M.cv_rmse(M.SPECS["ridge"], df, "k", 5).first()
+    assert cv.n_folds == 5 and cv.cv_rmse_mean > 0 and cv.cv_rmse_std >= 0
+    model, _ = M.fit(M.SPECS["ridge"], df)
+    path = shared_path(spark, "model")
+    model.write().save(path)
+    a, b = (M.predictions(m, df, ["k"]).orderBy("k").collect() for m in (model, PipelineModel.load(path)))
+    assert a == b
