@@ -67,8 +67,17 @@ def hash_order_key(key: Column, seed: int) -> Column:
 
 def sample_exact(df: DataFrame, n: int, key: Column, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement, deterministic for a seed:
-    the ``n`` smallest md5(key || seed). A top-k, so each task keeps n rows."""
-    return df.withColumn("__h", hash_order_key(key, seed)).orderBy("__h", key).limit(n).drop("__h")
+    the ``n`` smallest md5(key || seed).
+
+    A histogram of the first three hash digits (4,096 counts) tells which
+    prefix of the hash range holds n rows; only those rows, about n of them
+    and one bucket more, go to the final top-n."""
+    hashed = df.withColumn("__h", hash_order_key(key, seed))
+    bucket = F.substring("__h", 1, 3)
+    counts = hashed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("b")))  # at most 4,096 rows
+    cut = upto.agg(F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("b"))), F.lit("fff")).alias("cut")).scalar()
+    return hashed.where(bucket <= cut).orderBy("__h", key).limit(n).drop("__h")
 
 
 def split_flag(key: Column, test_pct: int = 20, seed: int = 42) -> Column:
