@@ -7,6 +7,11 @@ next 15 bits, and so on: four nested levels give the hash at which the budget is
 spent. A document is then taken by comparing its hash with its source's
 threshold, so the rows are never sorted. Budgets above the source's size take
 every document whole times first; the threshold spends the remainder.
+
+The document at a threshold seldom fits what is left of the budget, and in a
+small source it may be a good part of it. Two more rounds spend the rest in the
+same way among the documents beyond the threshold that are no larger than the
+rest, each with a threshold of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from harvestry.llm.common import store, whole_text, words
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 LEVELS, BITS = 4, 15
+ROUNDS = 3
 
 
 def hash60(key: Column) -> Column:
@@ -61,34 +67,57 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return per.select("source", "source_size", target.alias("target"))
 
 
-def thresholds(sized: DataFrame, wanted: DataFrame, levels: int = LEVELS, bits: int = BITS) -> DataFrame:
-    """One row per source: repeats (whole times) and the hash below which a document is taken once more."""
-    size = F.greatest(F.col("source_size"), F.lit(1)).cast("double")
-    repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
-    state = wanted.select("source", "source_size", "target", repeats.alias("repeats"),
-                          (F.col("target") - repeats * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("prefix"))
-    state = store(state, "mix-budget")
+def _spend(sized: DataFrame, state: DataFrame, allowed: Column, name: str, levels: int, bits: int) -> DataFrame:
+    """``state`` (one row per source) with prefix, the hash at which its budget ends among the ``allowed`` documents,
+    budget, what is left of it, and edge, the words at that hash (null if all documents fit)."""
+    state = state.withColumn("prefix", F.lit(0).cast("long")).withColumn("edge", F.lit(None).cast("long"))
+    of_state = [c for c in state.columns if c not in ("prefix", "edge", "budget")]
     for level in range(levels):
         shift = bits * (levels - 1 - level)
-        s = state.withColumnRenamed("source", "_s")
-        inside = sized.join(s.select("_s", "prefix"), F.col("source").eqNullSafe(F.col("_s")))
-        inside = inside.filter(F.shiftright("h", shift + bits) == F.col("prefix"))
+        inside = sized.join(state.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        inside = inside.filter(allowed & (F.shiftright("h", shift + bits) == F.col("prefix")))
         hist = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bucket")
         hist = hist.select(F.col("source").alias("_h"), "bucket", "words", F.sum("words").over(run).alias("upto"))
-        cut = (state.join(hist, F.col("source").eqNullSafe(F.col("_h")))
-               .filter((F.col("upto") > F.col("budget"))).groupBy("_h")
+        cut = (state.join(hist, F.col("source").eqNullSafe(F.col("_h"))).filter(F.col("upto") > F.col("budget")).groupBy("_h")
                .agg(F.min(F.struct("bucket", "words", (F.col("budget") - (F.col("upto") - F.col("words"))).alias("left"))).alias("cut")))
-        # no bucket ends beyond the budget: it equals what is inside, and all of it is taken
+        # no bucket ends beyond the budget: all that is inside is taken
         state = store(
             state.join(cut, F.col("source").eqNullSafe(F.col("_h")), "left")
-            .select("source", "source_size", "target", "repeats", F.coalesce("cut.left", "budget").alias("budget"),
+            .select(*of_state, F.coalesce("cut.left", "budget").alias("budget"),
                     F.coalesce("cut.bucket", F.shiftleft(F.col("prefix") + 1, bits)).alias("prefix"),
-                    F.col("cut.words").alias("edge")), f"mix-level{level}")
-    # the documents of the last bucket share one hash: take them if that comes nearer to the budget
-    take_edge = F.col("edge").isNotNull() & (F.col("edge") <= 2 * F.col("budget"))
-    return state.select(F.col("source").alias("_t"), "source_size", "target", "repeats",
-                        (F.col("prefix") + take_edge.cast("long")).alias("below"))
+                    F.col("cut.words").alias("edge")), f"mix-{name}-{level}")
+    return state
+
+
+def thresholds(sized: DataFrame, wanted: DataFrame, levels: int = LEVELS, bits: int = BITS, rounds: int = ROUNDS) -> DataFrame:
+    """One row per source: source_size, target, repeats (whole times), and for each round the hash below which a document
+    that it may take is taken once more (below0, ...), and the size up to which the next round may take one (gap0, ...)."""
+    size = F.greatest(F.col("source_size"), F.lit(1)).cast("double")
+    repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
+    state = wanted.select("source", "source_size", "target", repeats.alias("repeats"),
+                          (F.col("target") - repeats * F.col("source_size")).alias("budget"))
+    state = store(state, "mix-budget")
+    for r in range(rounds):
+        state = _spend(sized, state, may_take(r), f"round{r}", levels, bits)
+        below = F.col("prefix")
+        if r == rounds - 1:  # the documents at the last threshold share one hash: taken if that comes nearer to the budget
+            below = below + (F.col("edge").isNotNull() & (F.col("edge") <= 2 * F.col("budget"))).cast("long")
+        state = state.withColumn(f"below{r}", below).withColumn(f"gap{r}", F.col("budget")).drop("prefix", "edge")
+    return state.withColumnRenamed("source", "_t").drop("budget")
+
+
+def may_take(r: int) -> Column:
+    """Whether round ``r`` may take a document: beyond the last threshold and no larger than what is left."""
+    return F.lit(True) if r == 0 else (F.col("h") >= F.col(f"below{r - 1}")) & (F.col("size") <= F.col(f"gap{r - 1}"))
+
+
+def copies(rounds: int = ROUNDS) -> Column:
+    """How often a document (h, size) is taken, beside its source's row of ``thresholds``."""
+    once = F.lit(False)
+    for r in range(rounds):
+        once = once | (may_take(r) & (F.col("h") < F.col(f"below{r}")))
+    return F.col("repeats") + once.cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id",
@@ -101,18 +130,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     """
     sized = store(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     cuts = thresholds(sized, targets(sized, weights, max_repeats))
-    copies = F.least(F.col("repeats") + (F.col("h") < F.col("below")).cast("long"), F.lit(max_repeats))
+    taken = F.least(copies(), F.lit(max_repeats))
     return (sized.join(cuts, F.col("source").eqNullSafe(F.col("_t")))
-            .select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"),
-                    (copies * F.col("size")).alias("taken")))
+            .select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("copies"),
+                    (taken * F.col("size")).alias("taken")))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id",
               text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (rows not taken go), columns unchanged."""
     sized = store(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    cuts = thresholds(sized, targets(sized, weights, max_repeats)).select("_t", "repeats", "below")
-    joined = docs.withColumn("_mix_h", hash60(F.col(id_col))).join(cuts, F.col(source_col).eqNullSafe(F.col("_t")))
-    copies = F.least(F.col("repeats") + (F.col("_mix_h") < F.col("below")).cast("long"), F.lit(max_repeats)).cast("int")
-    return (joined.filter(copies > 0).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-            .select(*[F.col(c) for c in docs.columns]))
+    cuts = thresholds(sized, targets(sized, weights, max_repeats)).drop("source_size", "target")
+    cuts = cuts.withColumnsRenamed({c: f"_mix_{c}" for c in cuts.columns})
+    text_size = F.size(words(whole_text(text_col))).cast("long")
+    row = F.struct(hash60(F.col(id_col)).alias("h"), text_size.alias("size"))
+    joined = docs.withColumn("_mix_row", row).join(cuts, F.col(source_col).eqNullSafe(F.col("_mix__t")))
+    # ``copies`` reads its columns by name: they are named apart from those of ``docs`` until then
+    plain = joined.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "_mix_row.*",
+                          *[F.col(c).alias(c.removeprefix("_mix_")) for c in cuts.columns])
+    times = F.least(copies(), F.lit(max_repeats)).cast("int")
+    return (plain.filter(times > 0).select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_doc.*"))

@@ -136,6 +136,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixing_sql() -> str:
     w = ", ".join(str(float(x)) for x in mixing.WEIGHTS)
     cap = mixing.MAX_REPEATS
+    rounds, once, joins = _mixing_rounds(mixing.ROUNDS)
     return rf"""
 with d as (select doc_id, source, substr(md5(coalesce(doc_id::varchar, '')), 1, 15) as h,
                   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size from documents),
@@ -149,17 +150,30 @@ l as (select *, (total - capped) / rest as here from r),
 t as (select *, max(case when here * weight <= cap then here end) over () as level from l),
 g as (select source, source_size, least(coalesce(level * weight, cap), cap) as target from t),
 b as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as repeats from g),
-c as (select source, h, sum(size) as words from d group by source, h),
-u as (select c.*, sum(words) over (partition by source order by h) as upto from c),
-e as (select b.*, u.h, u.words, u.upto, b.target - b.repeats * b.source_size as budget
-      from b left join u on b.source is not distinct from u.source),
-k as (select source, source_size, target, repeats, budget,
-             min(h) filter (upto > budget) as edge,
-             min_by(words, h) filter (upto > budget) as edge_words,
-             min_by(budget - (upto - words), h) filter (upto > budget) as edge_left from e group by all)
-select doc_id, size, k.source_size, target,
-       (least({cap}, repeats + case when edge is null or d.h < edge or (d.h = edge and edge_words <= 2 * edge_left) then 1 else 0 end) * size)::bigint as taken
-from d join k on d.source is not distinct from k.source"""
+k as (select *, target - repeats * source_size as budget from b),
+{rounds}
+select doc_id, size, k.source_size, k.target, (least({cap}, k.repeats + ({once})::int) * size)::bigint as taken
+from d join k on d.source is not distinct from k.source{joins}"""
+
+
+def _mixing_rounds(rounds: int) -> tuple[str, str, str]:
+    """CTEs k0.. (edge: the hash at which the round's budget ends; left: what is left of it), the test of a document, the joins."""
+    ctes, tests, joins = [], [], []
+    for r in range(rounds):
+        before = "k" if r == 0 else f"k{r - 1}"
+        budget = "k.budget" if r == 0 else f"k{r - 1}.gap"
+        may = "true" if r == 0 else f"k{r - 1}.edge is not null and d.h >= k{r - 1}.edge and d.size <= k{r - 1}.gap"
+        ctes.append(f"""
+c{r} as (select d.source, d.h, sum(d.size) as words, max({budget}) as budget
+         from d join {before} on d.source is not distinct from {before}.source where {may} group by d.source, d.h),
+u{r} as (select *, sum(words) over (partition by source order by h) as upto from c{r}),
+k{r} as (select source, min(h) filter (upto > budget) as edge, min_by(words, h) filter (upto > budget) as edge_words,
+                min_by(budget - (upto - words), h) filter (upto > budget) as gap, max(budget) as had from u{r} group by source)""")
+        nearer = f" or (d.h = k{r}.edge and k{r}.edge_words <= 2 * k{r}.gap)" if r == rounds - 1 else ""
+        # a source without a row in k{r} has nothing that the round may take
+        tests.append(f"(coalesce({may}, false) and k{r}.had is not null and (k{r}.edge is null or d.h < k{r}.edge{nearer}))")
+        joins.append(f"\nleft join k{r} on d.source is not distinct from k{r}.source")
+    return ",".join(ctes), " or ".join(tests), "".join(joins)
 
 
 @registered("op10_mixing", _mixing_sql())

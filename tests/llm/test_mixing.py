@@ -38,7 +38,7 @@ def test_targets_and_nearness(spark):
         target[s] = r.target
         assert r.source_size == sizes[s] and r.taken in (0, r.size, 2 * r.size, 3 * r.size)
     for s in sizes:
-        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 40
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 6
     assert sorted(map(str, M.mix(docs).collect())) == sorted(map(str, got))
     copies = collections.Counter(r.doc_id for r in M.apply_mix(docs).collect())
     assert copies == collections.Counter({r.doc_id: r.copies for r in got if r.copies})
