@@ -12,15 +12,28 @@ from __future__ import annotations
 import re
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
-PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+#: Letters of ASCII and Latin-1 (each composed, with a lower case of its own), then ASCII signs but ' and <: to this
+#: tokenizer's pattern one word and one run of signs.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\\[-`{-~]*)")
 #: Pieces remembered (about 200 bytes each). When the store is full and more than one lookup in five misses, it starts anew.
 KNOWN = 1_000_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def worker_encoder(tokenizer: str, specials_as_text: bool = False) -> TextEncoder:
     """The encoder of this Python worker process, made by its first task."""
     kept = sys.modules.setdefault("_text_encoders", types.ModuleType("_text_encoders")).__dict__
@@ -43,8 +56,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         self.tokenizer.encode_special_tokens = specials_as_text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.signs: dict[bytes, list[int]] = {}
-        # a run of ASCII letters is one word to this tokenizer's pattern, the signs after it another
+        self.signs: dict[str, list[int]] = {}
         self.plain = tokenizer.endswith(WORD_BPE)
         self._clear()
 
@@ -54,40 +66,46 @@ class TextEncoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.used = self.looked = self.missed = 0
 
-    def _direct(self, pieces: list[bytes]) -> list[list[int]]:
-        out, rest = {}, []
+    def _direct(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of the pieces, and of the lower-case words inside them."""
+        out, rest, known = {}, [], self.known
+        tokenize = self.tokenizer.model.tokenize
         for p in pieces:
-            m = PLAIN.fullmatch(p)
-            if m is None or not self.plain:
+            m = PLAIN.fullmatch(p.decode()) if self.plain else None
+            if m is None:
                 rest.append(p)
-            else:
-                out[p] = self._letters(m[1].lower()) + self._signs(m[2])
+                continue
+            word = m[1].lower().encode()
+            ids = out.get(word)
+            if ids is None:
+                k = known.get(word)
+                if k is None:
+                    letters = m[1].lower() if word.isascii() else word.decode("latin-1").translate(BYTE_LETTERS)
+                    ids = out[word] = [t.id for t in tokenize(letters)]
+                else:
+                    ids = self.ids[self.starts[k]:self.starts[k + 1]].tolist()
+            if p != word:
+                out[p] = ids + self._signs(m[2]) if m[2] else ids
         out.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False))))
-        return [out[p] for p in pieces]
-
-    def _letters(self, word: bytes) -> list[int]:
-        k = self.known.get(word)
-        if k is not None:
-            return self.ids[self.starts[k]:self.starts[k + 1]].tolist()
-        return [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+        return out
 
-    def _signs(self, signs: bytes) -> list[int]:
+    def _signs(self, signs: str) -> list[int]:
         if signs not in self.signs:
             if len(self.signs) > 10_000:
                 self.signs.clear()
-            self.signs[signs] = self.tokenizer.encode(signs.decode(), add_special_tokens=False).ids
+            self.signs[signs] = self.tokenizer.encode(signs, add_special_tokens=False).ids
         return self.signs[signs]
 
-    def _learn(self, pieces: list[bytes], ids: list[list[int]]) -> None:
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
+    def _learn(self, found: dict[bytes, list[int]]) -> None:
+        flat = np.fromiter(chain.from_iterable(found.values()), np.uint32)
         k, end = len(self.known), self.used + len(flat)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(pieces) + 1 > len(self.starts):
+        while k + len(found) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[self.used:end] = flat
-        self.starts[k + 1:k + 1 + len(pieces)] = self.used + np.cumsum([len(x) for x in ids])
-        self.known.update(zip(pieces, range(k, k + len(pieces))))
+        self.starts[k + 1:k + 1 + len(found)] = self.used + np.cumsum(list(map(len, found.values())))
+        self.known.update(zip(found, range(k, k + len(found))))
         self.used = end
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -97,13 +115,12 @@ class TextEncoder:
             self.looked += len(at)
             return self._gather(at)
         new = list(dict.fromkeys(p for p, k in zip(pieces, at) if k is None))
-        ids = self._direct(new)
+        found = self._direct(new)
         self.looked, self.missed = self.looked + len(at), self.missed + len(new)
-        if len(self.known) + len(new) <= KNOWN:
-            self._learn(new, ids)
+        if len(self.known) + len(found) <= KNOWN:
+            self._learn(found)
             return self._gather(list(map(self.known.get, pieces)))
-        own = dict(zip(new, ids))
-        out = [own[p] if k is None else self.ids[self.starts[k]:self.starts[k + 1]] for p, k in zip(pieces, at)]
+        out = [found[p] if k is None else self.ids[self.starts[k]:self.starts[k + 1]] for p, k in zip(pieces, at)]
         if self.looked > KNOWN:
             if 5 * self.missed > self.looked:
                 self._clear()

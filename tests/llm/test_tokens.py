@@ -10,7 +10,8 @@ from harvestry.llm.tokens import WORD_BPE, TextEncoder
 from harvestry.session import shared_path
 
 TRICKY = ["It's 12 o'clock, they'LL go…", "<|endoftext|> x<|startoftext|>y", "É e\u0301 \u212b ﬁ ΣΑΣ", "a\u00a0b\x85c\u2003d\x1ce", "日本語 text, мир!!", "\t\n", "", None,
-          "Heed heed, HEED. heed.,;:!? heed'S don't. don'T I'm, \u212aelvin İstanbul ſ ABC123 12,3 a.b x_y, .,. thereby!!! thereby"]
+          "Heed heed, HEED. heed.,;:!? heed'S don't. don'T I'm, \u212aelvin İstanbul ſ ABC123 12,3 a.b x_y, .,. thereby!!! thereby",
+          "École école ÉCOLE, ñandú*** Größe größe GRÖSSE ÿ Ÿ Þorn aª 2º µm ×÷ naïve&&& à la À### çà$$$ a<b a<|endoftext|> x' x'' É́ ët"]
 
 
 def direct(text, specials_as_text=False):
