@@ -78,11 +78,11 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     def span(f):
         seen = F.when(F.col(f).isNotNull(), F.col(y))
         return F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"), F.min(seen).alias("ylo"), F.max(seen).alias("yhi")).alias(f"__r_{f}")
-    ranges = data.agg(*[span(f) for f in features]).withColumn("__one", F.lit(1))
-    wide = data.withColumn("__one", F.lit(1)).join(F.broadcast(ranges), "__one")  # one row
+    ranges = data.agg(F.struct(*[span(f) for f in features])).scalar()
+    wide = data.withColumn("__ranges", ranges)
 
     def cell(f):
-        r = F.col(f"__r_{f}")
+        r = F.col("__ranges")[f"__r_{f}"]
         bx, by = _bin(F.col(f), r["lo"], r["hi"], bins), _bin(F.col(y), r["ylo"], r["yhi"], bins)
         return F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), bx.alias("bx"), by.alias("by")))
 
@@ -100,13 +100,11 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
 def residual_summary(pred: DataFrame, y: str, yhat: str, digits: int = 6) -> DataFrame:
     """Mean, population std, exact P5/P95 and max |residual|."""
     res = pred.select((F.col(y) - F.col(yhat)).alias("residual"))
-    q = exact_quantiles(res, "residual", [0.05, 0.95], [], ["p05", "p95"]).withColumn("__one", F.lit(1))
+    q = exact_quantiles(res, "residual", [0.05, 0.95], [], ["p05", "p95"]).select(F.struct("p05", "p95")).scalar()
     moments = res.agg(np_round(F.avg("residual"), digits).alias("mean"),
                       np_round(F.stddev_pop("residual"), digits).alias("std"),
-                      np_round(F.max(F.abs("residual")), digits).alias("max_abs")).withColumn("__one", F.lit(1))
-    # one row on each side
-    return moments.join(F.broadcast(q), "__one", "left").select(
-        "mean", "std", np_round("p05", digits).alias("p05"), np_round("p95", digits).alias("p95"), "max_abs")
+                      np_round(F.max(F.abs("residual")), digits).alias("max_abs")).withColumn("__q", q)
+    return moments.select("mean", "std", np_round("__q.p05", digits).alias("p05"), np_round("__q.p95", digits).alias("p95"), "max_abs")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -138,15 +136,14 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str, digits: int = 6)
 def standardize(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), digits: int = 9) -> DataFrame:
     """(x - mean) / population std; zero variance -> scale 1.
 
-    The statistics are one aggregate row, broadcast beside the data."""
-    stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns],
-                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns]).withColumn("__one", F.lit(1))
+    The statistics are one scalar subquery, a struct with all of them."""
+    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])).scalar()
     out = []
     for c in columns:
-        s = F.col(f"__s_{c}")
+        s = F.col("__stats")[f"s_{c}"]
         scale = F.when(s == 0, F.lit(1.0)).otherwise(s)
-        out.append(np_round((F.col(c) - F.col(f"__m_{c}")) / scale, digits).alias(c))
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(stats), "__one").select(*keep, *out)
+        out.append(np_round((F.col(c) - F.col("__stats")[f"m_{c}"]) / scale, digits).alias(c))
+    return df.withColumn("__stats", stats).select(*keep, *out)
 
 
 def regression_metrics(pred: DataFrame, y: str, yhat: str, digits: int = 6) -> DataFrame:

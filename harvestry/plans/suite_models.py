@@ -84,9 +84,7 @@ select r.*, n.n_train from (values {", ".join(f"('{s.name}', '{s.family}', {str(
   (select count(*) as n_train from merged) n""", ops="M6")
 def q_model_registry(c):
     """The registry beside the number of rows that its models would learn from."""
-    n = c.merged.agg(F.count(F.lit(1)).alias("n_train"))
-    rows = M.registry_frame(c.spark)
-    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(n.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    return M.registry_frame(c.spark).withColumn("n_train", c.merged.agg(F.count(F.lit(1))).scalar())
 
 
 def _train(name):
