@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def located(docs: DataFrame) -> DataFrame:
     try:
         docs.select("_metadata.file_path", "_metadata.row_index")
         return docs
-    except Exception as e:
+    except AnalysisException as e:
         if "_metadata" not in str(e):
             raise
         return store(docs, "exact-input")

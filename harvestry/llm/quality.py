@@ -123,7 +123,7 @@ def limits(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def adaptive_limits(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
-    """One row per (lang, source): limits of the source, of its language or of all, whichever has MIN_GROUP documents."""
+    """One row per (lang, source), columns _limit_<side>_<measure>: limits of the source, of its language or of all, whichever has MIN_GROUP documents."""
     own = sketch(stats.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"),
                               *[F.col(prefix + s) for s in STATS]), ["_lang", "_source"], prefix)
     own = store(own, "quality-sketch")
@@ -137,7 +137,7 @@ def adaptive_limits(stats: DataFrame, lang_col: str = "lang", source_col: str =
     joined = (a.join(b, F.col("_lang").eqNullSafe(F.col("_lang2")), "left")
               .withColumn("_all", F.lit(0)).join(c, F.col("_all") == F.col("_all2"), "left"))
     pick = [F.when(F.col("own_docs") >= MIN_GROUP, F.col(f"own_{x}")).when(F.col("lang_docs") >= MIN_GROUP, F.col(f"lang_{x}"))
-            .otherwise(F.col(f"all_{x}")).alias(x) for x in cols]
+            .otherwise(F.col(f"all_{x}")).alias(f"_limit_{x}") for x in cols]
     return store(joined.select("_lang", "_source", *pick), "quality-limits")
 
 
@@ -145,7 +145,7 @@ def within_limits(prefix: str = "") -> Column:
     ok = F.lit(True)
     for k, v in measures(prefix).items():
         for side, bad in (("high", lambda x, t: x > t), ("low", lambda x, t: x < t)):
-            ok = ok & ~F.coalesce(bad(v, F.col(f"{side}_{k}")), F.lit(False))
+            ok = ok & ~F.coalesce(bad(v, F.col(f"_limit_{side}_{k}")), F.lit(False))
     return ok
 
 

@@ -7,13 +7,13 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that the operators use inside
-    *[T.StructField(c, T.StringType()) for c in ("id", "digest", "rows", "file", "row", "h", "fp", "size", "target", "kept", "grp", "shard")],
+    *[T.StructField(c, T.StringType()) for c in ("id", "digest", "rows", "file", "row", "h", "fp", "size", "target", "kept", "grp", "shard", "low_symbols", "docs", "key", "rule")],
 ])
 
 
 def frame(spark, rows):
     """Documents from (doc_id, text, lang, source), with columns whose names clash with inner ones."""
-    full = [(*r, len(r[1]) if r[1] is not None else None, *["x"] * 12) for r in rows]
+    full = [(*r, len(r[1]) if r[1] is not None else None, *["x"] * 16) for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
