@@ -179,4 +179,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     lim = adaptive_limits(slim, "_lang", "_source").withColumnsRenamed({"_lang": "_q_l", "_source": "_q_s"})
     full = with_stats(docs, text_col, p)
     good = full.join(lim, F.col(lang_col).eqNullSafe(F.col("_q_l")) & F.col(source_col).eqNullSafe(F.col("_q_s")), "left")
-    return good.filter(~base_failed(p) & within_limits(p)).select(*[F.col(c) for c in docs.columns])
+    # one test over columns of both sides: pushed below the join, parts of it would compute the measures once per mention
+    bad = F.greatest(base_failed(p).cast("int"), (~within_limits(p)).cast("int"))
+    return good.filter(bad == 0).select(*[F.col(c) for c in docs.columns])

@@ -43,3 +43,12 @@ def messy(spark, messy_rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return frame(spark, [])
+
+
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """The fixtures are tiny; tests of splitting set their own block sizes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
