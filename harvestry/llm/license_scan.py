@@ -1,20 +1,27 @@
 """License scan: parts of a text compared with license templates by Dice coefficient over word bigrams.
 
 The parts of a text are its lines, its paragraphs (runs of lines with a word) of
-two lines or more, and the whole text. A part is normalised to lower-case words
+two lines or more, the whole text, and for each template the word spans closest to
+it, wherever they begin and end: the best span of all, then the best ones that do
+not overlap those found. A part is normalised to lower-case words
 ``[a-z0-9]+`` and compared by the multiset of its word bigrams; a part of one
 word has that word as its only item. With sizes a and b a Dice coefficient of t
 needs a between t/(2-t) * b and (2-t)/t * b, so a part meets only the templates
 in those bounds, and of them only those that share a bigram. Templates are a
-parameter held by every task; each document is scanned on its own, so nothing is
+parameter held by every task; a best span begins and ends with a bigram of its
+template, and t/(2-t) * b of its bigrams lie in it, so other places are skipped. Each document is scanned on its own, so nothing is
 shuffled and one long text costs one task its own length.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Mapping
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,20 +116,80 @@ class TemplateIndex:
         scored = [(k, dice(part, self.templates[k])) for k in sorted(near)]
         return [(k, d) for k, d in scored if d >= self.threshold]
 
-
-def parts_of(text: str):
-    """(first line, lines, words) of every line, paragraph and the whole text."""
+    def spans(self, words: list[str]) -> set[tuple[int, int]]:
+        """(first word, end) of the spans at the threshold: per template the best of all spans, then the best beside those found."""
+        at: dict[str, list[int]] = {}
+        for i, g in enumerate(zip(words, words[1:])):
+            for k in self.holders.get(g, ()):
+                at.setdefault(k, []).append(i)
+        found = set()
+        for k, hits in at.items():
+            todo = [(0, len(hits))]
+            while todo:
+                lo, hi = todo.pop()
+                if best := self._best_span(k, words, hits, lo, hi):
+                    first, last = best
+                    found.add((hits[first], hits[last] + 2))
+                    # a bigram beside the span must not share a word with it
+                    while first > lo and hits[first - 1] + 2 > hits[best[0]]:
+                        first -= 1
+                    while last + 1 < hi and hits[last + 1] < hits[best[1]] + 2:
+                        last += 1
+                    todo += [(lo, first), (last + 1, hi)]
+        for i, w in enumerate(words if any((w,) in self.holders for w in words) else ()):
+            if (w,) in self.holders:
+                found.add((i, i + 1))
+        return found
+
+    def _best_span(self, k: str, words: list[str], hits: list[int], lo: int, hi: int) -> tuple[int, int] | None:
+        """Places in ``hits[lo:hi]`` of the first and last bigram of the best span at the threshold; the earliest, then longest, on a tie."""
+        template, size, (least, most) = self.templates[k], self.sizes[k], self.bounds[k]
+        need = max(math.ceil(least - 1e-9), 1)
+        best, where = 0.0, None
+        for first in range(lo, hi - need + 1):
+            begin = hits[first]
+            if hits[first + need - 1] - begin >= most + 1e-9:
+                continue
+            seen, shared = Counter(), 0
+            for last in range(first, hi):
+                n = hits[last] - begin + 1
+                if n > most + 1e-9:
+                    break
+                g = (words[hits[last]], words[hits[last] + 1])
+                seen[g] += 1
+                shared += seen[g] <= template[g]
+                d = 2 * shared / (n + size)
+                if d >= self.threshold and (d > best or d == best and where[0] == first):
+                    best, where = d, (first, last)
+        return where
+
+
+@cache
+def default_index() -> TemplateIndex:
+    return TemplateIndex(TEMPLATES, THRESHOLD)
+
+
+def parts_of(text: str, index: TemplateIndex | None = None):
+    """(first line, lines, words) of every line, paragraph, the whole text and the index's other spans."""
     lines = [words_of(x) for x in text.split("\n")]
+    ends = list(accumulate(map(len, lines)))
+    words, whole = [x for y in lines for x in y], set()
     for i, w in enumerate(lines):
+        whole.add((ends[i] - len(w), ends[i]))
         yield i, 1, w
     start = 0
     for i, w in enumerate([*lines, []]):
         if not w:
             if i - start > 1 and i - start < len(lines):
+                whole.add((ends[start] - len(lines[start]), ends[i - 1]))
                 yield start, i - start, [x for y in lines[start:i] for x in y]
             start = i + 1
     if len(lines) > 1:
-        yield 0, len(lines), [x for y in lines for x in y]
+        whole.add((0, len(words)))
+        yield 0, len(lines), words
+    for begin, end in sorted((index or default_index()).spans(words) - whole):
+        line, last = bisect_right(ends, begin), bisect_right(ends, end - 1)
+        yield line, last - line + 1, words[begin:end]
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
@@ -141,7 +208,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
     def run(batches):
         index = TemplateIndex(templates, threshold)
         for b in batches:
-            found = [[(i, n, k, d) for i, n, w in parts_of(t.as_py() or "") for k, d in index.matches(w)] for t in b.column("text")]
+            found = [[(i, n, k, d) for i, n, w in parts_of(t.as_py() or "", index) for k, d in index.matches(w)] for t in b.column("text")]
             best = [min(((-d, k) for _, _, k, d in f), default=(None, None)) for f in found]
             named = [[dict(zip(("first_line", "n_lines", "license", "dice"), m)) for m in f] for f in found]
             yield pa.RecordBatch.from_arrays(

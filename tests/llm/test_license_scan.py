@@ -31,3 +31,47 @@ def test_bounds_prune_only_impossible_templates():
         for m in range(1, 2 * n + 2):
             if 2 * min(m, n) / (m + n) >= 0.8:
                 assert low <= m + 1e-9 and m <= high + 1e-9
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def best_by_brute_force(text, template):
+    w, t = L.words_of(text), L.bigrams(L.words_of(template))
+    return max((L.dice(L.bigrams(w[i:j]), t) for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=0.0)
+
+
+def test_every_span_is_compared(spark):
+    """A header of several paragraphs inside a longer text, and a notice inside a line, against all word spans."""
+    names = ("Apache-2.0", "notice:MIT", "notice:Apache-2.0", "MPL-2.0")
+    templates = {k: L.TEMPLATES[k] for k in names}
+    texts = ["Notes on a tool\n\nIt has a long story.\n\n" + APACHE + "\n\nThen the code of the tool begins here, under the hood.",
+             "This corpus page is provided as is. Released under the MIT License. See the rest of the page for more.",
+             "the license is the license of the file and you may obtain a copy of it at the door", "mit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan_licenses(docs, templates).collect()}
+    for i, x in enumerate(texts):
+        best = {k: best_by_brute_force(x, t) for k, t in templates.items()}
+        want = {k: d for k, d in best.items() if d >= L.THRESHOLD}
+        have = {}
+        for m in got[i].matches:
+            have[m.license] = max(have.get(m.license, 0.0), m.dice)
+        assert have == want, (i, have, want)
+    assert got[0].license == "Apache-2.0" and got[0].dice == 1.0 and (4, 11, "Apache-2.0", 1.0) in map(tuple, got[0].matches)
+    assert got[1].license == "notice:MIT" and got[1].dice == 1.0 and got[2].license is None
+
+
+def test_spans_that_repeat_are_all_found():
+    index = L.TemplateIndex({"a": "one two three four five", "b": "single"}, 0.8)
+    words = "x one two three four five one two three four five y single z one two three".split()
+    assert index.spans(words) == {(1, 6), (6, 11), (12, 13)}
