@@ -95,3 +95,18 @@ def test_cross_validation_and_round_trip(spark):
     model.write().save(path)
     a, b = (M.predictions(m, df, ["k"]).orderBy("k").collect() for m in (model, PipelineModel.load(path)))
     assert a == b
+
+
+def test_every_registry_model_is_cross_validated(spark, monkeypatch):
+    from harvestry.plans import suite_models as S
+
+    class Stub:
+        def scores(self, name):
+            return spark.createDataFrame([(name, 0.5)], "model string, r2 double")
+
+        def cv(self, name):
+            return spark.createDataFrame([(name, 1.0, 0.1)], "model string, cv_rmse_mean double, cv_rmse_std double")
+
+    monkeypatch.setattr(S, "training", lambda c: Stub())
+    rows = S.train_all(None).collect()
+    assert {r.model for r in rows if r.cv_rmse_mean is not None and r.cv_rmse_std is not None} == set(M.SPECS)
