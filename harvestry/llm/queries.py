@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.llm import (exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, substring_dedup,
-                           token_count, url_filter)
+                           token_align, token_count, url_filter)
 from harvestry.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,3 +247,10 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# -- 13: cross-tokenizer alignment --------------------------------------------------------------
+
+@registered("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.link_counts(table(spark, sf_dir, "documents"))
