@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.llm import (exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, substring_dedup,
-                           token_align, token_count, url_filter)
+                           token_align, token_count, url_filter, warc)
 from harvestry.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,16 @@ def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op13_token_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.link_counts(table(spark, sf_dir, "documents"))
+
+
+# -- 11: WARC -----------------------------------------------------------------------------------
+
+@registered("op11_warc", f"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes < {warc.MIN_REVISIT} or page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when payload_bytes >= {warc.MIN_REVISIT} and page_id <> first_id then first_id end as refers_to
+from f""")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
