@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import (exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, substring_dedup,
-                           token_align, token_count, url_filter, warc)
+from harvestry.llm import (exact_dedup, license_scan, line_dedup, mixing, packing, prefix_trie, quality, simhash,
+                           substring_dedup, token_align, token_count, url_filter, warc)
 from harvestry.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,3 +267,31 @@ select page_id, payload_bytes, payload_digest,
 from f""")
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+# -- 12: conversation prefix trie ---------------------------------------------------------------
+
+@registered("op12_prefix_trie", """
+with recursive t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(coalesce(role, '') || chr(0) || coalesce(text, ''))) as i,
+                  coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+k as (select c, c - c % 5 as b, xor(list_reduce([4294967295::bigint] || list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint),
+        lambda crc, byte: list_reduce([xor(crc, byte)] || list_transform(range(8), lambda z: 0::bigint), lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)),
+        4294967295) % 9 as h from (select distinct c from t)),
+r as (select k.c, t.i, 0 as own, t.role, t.text from k join t on t.c = k.b and t.i <= k.h
+      union all select k.c, t.i, 1, t.role, t.text from k join t on t.c = k.c and t.i > k.h),
+n as (select c, row_number() over (partition by c order by own, i) as d, sha256(role || chr(0) || text) as e, strlen(text) as bytes from r),
+p as (select k.c, 0::bigint as d, '' as key, null::varchar as up, 0::bigint as bytes from k
+      union all select n.c, n.d, sha256(p.key || n.e), p.key, n.bytes from p join n on n.c = p.c and n.d = p.d + 1),
+m as (select d, key, any_value(up) as up, any_value(bytes) as bytes, min(c) as conv_id, count(*) as n_convs from p group by d, key),
+ends as (select d, key, string_agg(c::varchar, ',' order by c) as ids from (select *, max(d) over (partition by c) as last from p) where d = last group by d, key),
+kids as (select d - 1 as d, up as key, count(*) as n_children from m where d > 0 group by all),
+lines as (select distinct o.d, o.key, u.d as ud, u.key as ukey from p o join p u on u.c = o.c and u.d >= o.d),
+subtree as (select l.d, l.key, count(*) filter (kids.key is null) as n_leaves, sum((m.n_convs - 1) * m.bytes)::bigint as saved_tokens
+            from lines l join m on m.d = l.ud and m.key = l.ukey left join kids on kids.d = l.ud and kids.key = l.ukey group by l.d, l.key)
+select m.conv_id, m.d as depth, a.conv_id as parent_conv_id, m.n_convs, coalesce(kids.n_children, 0) as n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) as ends_sha256
+from m join subtree s on s.d = m.d and s.key = m.key left join m a on a.d = m.d - 1 and a.key = m.up
+     left join kids on kids.d = m.d and kids.key = m.key left join ends on ends.d = m.d and ends.key = m.key""")
+def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
