@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,16 +81,66 @@ def sample_exact(df: DataFrame, n: int, key: Column, seed: int = 42) -> DataFram
 
 
 def split_flag(key: Column, test_pct: int = 20, seed: int = 42) -> Column:
-    """Test-set membership from the first 32 bits of md5(key || seed);
-    no shuffle, deterministic, size within sampling error of ``test_pct``."""
+    """Test-set membership from the first 32 bits of md5(key || seed); no
+    pass over the data, size within sampling error of ``test_pct``."""
     return hash_bucket(F.concat(key.cast("string"), F.lit(str(seed))), 100) < test_pct
 
 
 def fold_id(key: Column, folds: int = 5, seed: int = 42) -> Column:
-    """Fold number 0..folds-1."""
+    """Fold number 0..folds-1 by hash, sizes within sampling error."""
     return hash_bucket(F.concat(key.cast("string"), F.lit(str(seed))), folds).cast("int")
 
 
+def hash_cuts(df: DataFrame, key: Column, ranks: Callable[[int], Sequence[int]], seed: int = 42) -> list[str]:
+    """For each of ``ranks(number of rows)``, the hash with exactly so many rows below it in the order of md5(key || seed).
+
+    Nothing is sorted: a histogram of the first three hex digits shows which
+    bucket holds each cut, and only that bucket's rows go to a histogram of the
+    next three, until the cut falls between two buckets. Each histogram has at
+    most 4,096 counts for each cut. Rows that share a key stay together, so a
+    cut inside them moves in front of them. A null key counts as empty.
+    """
+    h = hash_order_key(F.coalesce(key.cast("string"), F.lit("")), seed)
+    hashed = df.select(h.alias("h"))
+    depth, wanted, found, places = 3, None, {}, {}
+    while wanted is None or wanted:
+        rows = hashed if wanted is None else hashed.where(F.substring("h", 1, depth - 3).isin(sorted({p for p, _ in wanted.values()})))
+        counts = sorted((r.b, r.n) for r in rows.groupBy(F.substring("h", 1, depth).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if wanted is None:
+            places = list(ranks(sum(n for _, n in counts)))
+            wanted = {i: ("", r) for i, r in enumerate(places)}
+        for i, (prefix, left) in list(wanted.items()):
+            for b, n in counts:
+                if not b.startswith(prefix):
+                    continue
+                if left < n:
+                    if left == 0 or depth >= 32:
+                        found[i] = b
+                        del wanted[i]
+                    else:
+                        wanted[i] = (b, left)
+                    break
+                left -= n
+            else:  # every row lies below
+                found[i] = "g"
+                del wanted[i]
+        depth = min(depth + 3, 32)
+    return [found[i] for i in range(len(places))]
+
+
+def exact_split(df: DataFrame, key: Column, test_pct: int = 20, seed: int = 42) -> Column:
+    """True for exactly ceil(n * test_pct / 100) rows, the first in the hash order; decided in the row by one comparison."""
+    (cut,) = hash_cuts(df, key, lambda n: [-(-n * test_pct // 100)], seed)
+    return hash_order_key(F.coalesce(key.cast("string"), F.lit("")), seed) < F.lit(cut)
+
+
+def exact_folds(df: DataFrame, key: Column, folds: int = 5, seed: int = 42) -> Column:
+    """Fold 0..folds-1, consecutive stretches of the hash order; the first n % folds of them have one row more."""
+    cuts = hash_cuts(df, key, lambda n: [n // folds * i + min(i, n % folds) for i in range(1, folds)], seed)
+    h = hash_order_key(F.coalesce(key.cast("string"), F.lit("")), seed)
+    return sum(((h >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
 def arg_max(df: DataFrame, by: Sequence[str], value: str, label: str) -> DataFrame:
     """The label of the row with the largest value per group (ties: the
     smallest label). Two-phase ``max`` of a struct."""

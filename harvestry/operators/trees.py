@@ -43,7 +43,7 @@ from harvestry.session import shared_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 256
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 13
 #: A node of at most this many rows is finished by one task.
 LOCAL_ROWS = 1 << 16
 #: Trees between two writes of the scores.
@@ -128,7 +128,10 @@ def write_blocks(assembled: DataFrame, edges: list[np.ndarray], fold: Column | N
                     names=["part", "nth", "x", "y", "fold"])
                 nth += 1
 
-    return _store(slim.mapInArrow(run, "part int, nth int, x binary, y binary, fold binary"), "tree-blocks")
+    blocks = slim.mapInArrow(run, "part int, nth int, x binary, y binary, fold binary")
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    # every pass reads the files as they are written, so a table of few files is spread first
+    return _store(blocks.repartition(cores) if blocks.rdd.getNumPartitions() < cores else blocks, "tree-blocks")
 
 
 def _store(df: DataFrame, name: str) -> DataFrame:
@@ -276,71 +279,62 @@ def grow_subtree(x: np.ndarray, w: np.ndarray, g: np.ndarray, growth: Growth, fe
 @dataclass
 class Growing:
     """A tree on the driver while it grows: every split that is worth making, with its gain."""
-    feature: list[int]
-    bin: list[int]
-    left: list[int]
-    gain: list[float]
-    sums: list[tuple[float, float, float]]
-    depth: list[int]
+    feature: np.ndarray
+    bin: np.ndarray
+    left: np.ndarray
+    gain: np.ndarray
+    sums: np.ndarray
+    depth: np.ndarray
 
     @classmethod
-    def root(cls, n: float = 0, w: float = 0, g: float = 0) -> Growing:
-        return cls([-1], [0], [-1], [0.0], [(n, w, g)], [0])
+    def root(cls) -> Growing:
+        return cls(np.array([-1]), np.array([0]), np.array([-1], np.int32), np.zeros(1), np.zeros((1, 3)), np.array([0]))
 
     def tree(self) -> Tree:
-        return Tree(np.array(self.feature), np.array(self.bin), np.array(self.left, np.int32), np.zeros(len(self.left)), np.array(self.gain))
+        return Tree(self.feature, self.bin, self.left, np.zeros(len(self.left)), self.gain)
+
+    def _add(self, feature, bin_, left, gain, sums, depth) -> None:
+        for name, more in (("feature", feature), ("bin", bin_), ("left", left), ("gain", gain), ("sums", sums), ("depth", depth)):
+            held = getattr(self, name)
+            setattr(self, name, np.concatenate([held, np.asarray(more).astype(held.dtype)]))
 
-    def split(self, i: int, feature: int, bin_: int, gain: float, left: tuple[float, float, float]) -> int:
-        self.feature[i], self.bin[i], self.gain[i], self.left[i] = feature, bin_, gain, len(self.left)
-        right = tuple(a - b for a, b in zip(self.sums[i], left))
-        for s in (left, right):
-            self.feature.append(-1), self.bin.append(0), self.left.append(-1), self.gain.append(0.0), self.sums.append(tuple(s))
-            self.depth.append(self.depth[i] + 1)
-        return self.left[i]
+    def split(self, i: int, feature: int, bin_: int, gain: float, left: np.ndarray) -> int:
+        at = len(self.left)
+        self.feature[i], self.bin[i], self.gain[i], self.left[i] = feature, bin_, gain, at
+        self._add([-1, -1], [0, 0], [-1, -1], [0, 0], np.stack([left, self.sums[i] - left]), [self.depth[i] + 1] * 2)
+        return at
 
     def graft(self, i: int, sub: dict[str, np.ndarray]) -> None:
-        """Put a finished subtree in the place of leaf ``i``."""
-        at = len(self.left) - 1  # the subtree's node 1 becomes this + 1
-        place = lambda j: i if j == 0 else at + j
-        depth = {0: self.depth[i]}
-        for j, l in enumerate(sub["left"].tolist()):
-            if l >= 0:
-                depth[l] = depth[l + 1] = depth[j] + 1
-        left = [place(l) if l >= 0 else -1 for l in sub["left"].tolist()]
-        self.feature[i], self.bin[i], self.gain[i], self.left[i] = int(sub["feature"][0]), int(sub["bin"][0]), float(sub["gain"][0]), left[0]
-        self.sums[i] = tuple(sub["sums"][0])
-        self.feature += sub["feature"][1:].tolist()
-        self.bin += sub["bin"][1:].tolist()
-        self.gain += sub["gain"][1:].tolist()
-        self.left += left[1:]
-        self.sums += [tuple(s) for s in sub["sums"][1:].tolist()]
-        self.depth += [depth[j] for j in range(1, len(left))]
+        """Put a finished subtree in the place of leaf ``i``; its nodes are not looked at again before the end."""
+        left = np.where(sub["left"] >= 0, sub["left"] + (len(self.left) - 1), -1)  # the subtree's node 1 comes next
+        for name in ("feature", "bin", "gain", "sums"):
+            getattr(self, name)[i] = sub[name][0]
+        self.left[i] = left[0]
+        self._add(sub["feature"][1:], sub["bin"][1:], left[1:], sub["gain"][1:], sub["sums"][1:], np.full(len(left) - 1, -1))
 
     def finished(self, growth: Growth, base: float) -> Tree:
         """The tree that the policy keeps of all splits: best first up to ``leaves``, or all of them."""
-        keep, leaves, queue = set(), 1, []
-        if self.left[0] >= 0:
-            heapq.heappush(queue, (-self.gain[0], 0))
-        while queue and (growth.leaves is None or leaves < growth.leaves):
+        value = self.sums[:, 2] / np.maximum(self.sums[:, 1] + growth.l2, 1e-300) * (1.0 if growth.rate is None else growth.rate) + base
+        if growth.leaves is None:
+            return Tree(self.feature.astype(np.int8), self.bin.astype(np.uint8), self.left, value, self.gain.astype(np.float32))
+        keep, leaves, queue = set(), 1, [(-self.gain[0], 0)] if self.left[0] >= 0 else []
+        while queue and leaves < growth.leaves:
             _, i = heapq.heappop(queue)
             keep.add(i)
             leaves += 1
             for c in (self.left[i], self.left[i] + 1):
                 if self.left[c] >= 0:
                     heapq.heappush(queue, (-self.gain[c], c))
-        new, old = [0], 0  # old node of each new one, level by level
-        left = []
-        while old < len(new):
-            i = new[old]
-            left.append(len(new) if i in keep else -1)
+        old, left, at = [0], [], 0  # the old node of each new one, level by level
+        while at < len(old):
+            i = old[at]
+            left.append(len(old) if i in keep else -1)
             if i in keep:
-                new += [self.left[i], self.left[i] + 1]
-            old += 1
-        at, inner = np.array(new), np.array([i in keep for i in new])
-        s = np.array([self.sums[i] for i in new])
-        value = s[:, 2] / np.maximum(s[:, 1] + growth.l2, 1e-300) * (1.0 if growth.rate is None else growth.rate) + base
-        return Tree(np.where(inner, np.array(self.feature)[at], -1).astype(np.int8), np.array(self.bin)[at].astype(np.uint8), np.array(left, np.int32),
-                    value, np.where(inner, np.array(self.gain)[at], 0.0))
+                old += [self.left[i], self.left[i] + 1]
+            at += 1
+        left = np.array(left, np.int32)
+        return Tree(np.where(left >= 0, self.feature[old], -1).astype(np.int8), self.bin[old].astype(np.uint8), left, value[old],
+                    np.where(left >= 0, self.gain[old], 0.0).astype(np.float32))
 
 
 @dataclass
@@ -513,9 +507,9 @@ def grow_trees(blocks: DataFrame, jobs: list[Job], rows: list[int], n_features:
             left, sums = np.frombuffer(r.left).reshape(-1, 3), np.frombuffer(r.sums).reshape(-1, 3)
             for slot, node in enumerate(order[r.job]):
                 if jobs[r.job].growing.depth[node] == 0:
-                    jobs[r.job].growing.sums[node] = tuple(sums[slot])
+                    jobs[r.job].growing.sums[node] = sums[slot]
                 if gain[slot] > best[r.job][slot][0]:
-                    best[r.job][slot] = (gain[slot], r.feature, int(bins[slot]), tuple(left[slot]))
+                    best[r.job][slot] = (gain[slot], r.feature, int(bins[slot]), left[slot])
         below: dict[int, list[tuple[int, int, int]]] = {}
         for j, nodes in order.items():
             growing, depth = jobs[j].growing, jobs[j].learner.growth.depth
@@ -546,13 +540,35 @@ def _rows_of(learner: Learner, totals: dict[int, tuple[int, float]]) -> tuple[in
     return n, sum(v[1] for k, v in totals.items() if k != learner.without) / max(n, 1)
 
 
-def fit_forest(blocks: DataFrame, learner: Learner, n_features: int, totals: dict[int, tuple[int, float]], local_rows: int = LOCAL_ROWS) -> list[Tree]:
-    """All trees in the same passes; the labels are taken less their mean, which every leaf adds."""
-    growth = learner.growth
-    n, mean = _rows_of(learner, totals)
-    jobs = [Job(learner, 0, t, tree_features(growth, t, n_features), mean, Growing.root(), []) for t in range(growth.trees)]
-    grow_trees(blocks, jobs, [n] * len(jobs), n_features, local_rows)
-    return [j.growing.finished(growth, mean) for j in jobs]
+def fit_forests(blocks: DataFrame, learners: list[Learner], n_features: int, totals: dict[int, tuple[int, float]],
+                local_rows: int = LOCAL_ROWS) -> list[list[Tree]]:
+    """All trees of all learners in the same passes; the labels are taken less their mean, which every leaf adds."""
+    jobs, rows = [], []
+    for i, learner in enumerate(learners):
+        n, mean = _rows_of(learner, totals)
+        jobs += [Job(learner, i, t, tree_features(learner.growth, t, n_features), mean, Growing.root(), []) for t in range(learner.growth.trees)]
+        rows += [n] * learner.growth.trees
+    grow_trees(blocks, jobs, rows, n_features, local_rows)
+    out = [[] for _ in learners]
+    for job in jobs:
+        out[job.column].append(job.growing.finished(job.learner.growth, job.base))
+    return out
+
+
+def forest_error(blocks: DataFrame, learner: Learner, trees: list[Tree], n_features: int) -> float | None:
+    """RMSE of a forest on the fold that it left out."""
+    def run(batches):
+        for batch in batches:
+            for block in _read(batch, n_features):
+                held_out = np.flatnonzero(block["fold"] == learner.without)
+                x, total = block["x"][:, held_out], np.zeros(len(held_out))
+                for t in trees:
+                    total += t.value[t.leaf_of(x)]
+                e = block["y"][held_out] - total / len(trees)
+                yield pa.RecordBatch.from_arrays([pa.array([len(e)]), pa.array([float(e @ e)])], names=["n", "sse"])
+
+    r = blocks.mapInArrow(run, "n long, sse double").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse")).first()
+    return float(np.sqrt(r.sse / r.n)) if r.n else None
 
 
 def with_scores(blocks: DataFrame, bases: list[float], pending: list[list[Tree]], n_features: int) -> DataFrame:
@@ -617,10 +633,12 @@ class TreeModel:
     @classmethod
     def of(cls, trees: list[Tree], base: float, growth: Growth, edges: list[np.ndarray]) -> TreeModel:
         raw, importances = [], np.zeros(len(edges))
+        upper = np.full((len(edges), BINS), np.inf)
+        for f, e in enumerate(edges):
+            upper[f, :len(e)] = e
         for t in trees:
             inner = t.left >= 0
-            cut = np.array([edges[f][min(b, len(edges[f]) - 1)] if i and len(edges[f]) else np.inf for f, b, i in zip(t.feature, t.bin, inner)])
-            raw.append((t.feature.astype(np.int32), cut, t.left, t.value))
+            raw.append((t.feature.astype(np.int32), np.where(inner, upper[t.feature, t.bin], np.inf), t.left, t.value))
             gains = np.bincount(t.feature[inner], t.gain[inner], len(edges))
             # a forest's importances are the mean of its trees' shares, a booster's the share of all gains
             importances += gains / gains.sum() if growth.rate is None and gains.sum() > 0 else gains
@@ -653,9 +671,10 @@ class TreeModel:
         return assembled.withColumn("prediction", self.score([a[i] for i in range(len(self.importances))]))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(i, *(c.tolist() for c in t)) for i, t in enumerate(self.trees)]
-        trees = spark.createDataFrame(rows, "tree int, feature array<int>, threshold array<double>, left array<int>, value array<double>")
-        trees.write.mode("overwrite").parquet(f"{path}/trees")
+        columns = [pa.array([c.tolist() for c in column], pa.list_(kind)) for column, kind in
+                   zip(zip(*self.trees), (pa.int32(), pa.float64(), pa.int32(), pa.float64()))]
+        trees = pa.table([pa.array(range(len(self.trees)), pa.int32()), *columns], names=["tree", "feature", "threshold", "left", "value"])
+        spark.createDataFrame(trees).write.mode("overwrite").parquet(f"{path}/trees")
         meta = [(self.base, self.mean, self.importances.tolist(), {k: str(v) for k, v in self.settings.items()})]
         spark.createDataFrame(meta, "base double, mean boolean, importances array<double>, settings map<string,string>").write.mode("overwrite").parquet(f"{path}/model")
 

@@ -5,6 +5,7 @@ the same fits share them through ``Training``."""
 
 from __future__ import annotations
 
+import time
 from functools import cache, cached_property
 
 from pyspark.ml import PipelineModel
@@ -15,12 +16,15 @@ from harvestry.functions import domains as D
 from harvestry.functions.features import build_features
 from harvestry.functions.numeric import np_round
 from harvestry.operators import models as M
-from harvestry.operators.ranking import mean_rank
+from harvestry.operators.ranking import exact_folds, mean_rank
 from harvestry.plans.registry import query
 from harvestry.session import shared_path
 from harvestry.sources import fixtures as FX
 
 
+FOLDS = 5
+
+
 class Training:
     """The training table of one folder and the models fitted on it."""
 
@@ -45,8 +49,26 @@ class Training:
     def parts(self):
         return M.split(self.table, "k")
 
+    @cached_property
+    def fold(self):
+        return exact_folds(self.parts[0], F.col("k"), FOLDS, 42)
+
+    @cached_property
+    def binned(self):
+        return M.Binned.of(self.parts[0], len(D.FEATURES), self.fold)
+
+    @cached_property
+    def boosters(self):
+        """The three boosters and their folds, which are fitted together; their seconds are those of the whole."""
+        t0 = time.time()
+        fits = M.fit_boosters([M.SPECS[n] for n in M.BOOSTERS], self.binned, FOLDS)
+        return fits, time.time() - t0
+
     def _fit(self, name):
-        return M.fit(M.SPECS[name], self.parts[0])
+        if name in M.BOOSTERS:
+            fits, secs = self.boosters
+            return fits[name][0], secs
+        return M.fit(M.SPECS[name], self.parts[0], None if name == "ridge" else self.binned)
 
     def _scores(self, name):
         """One row of metrics, written, so that later queries read it."""
@@ -54,7 +76,13 @@ class Training:
         return self._kept(M.score_model(name, model, secs, self.parts[1]), "score")
 
     def _cv(self, name):
-        return self._kept(M.cv_rmse(M.SPECS[name], self.parts[0], "k", 5), "cv")
+        if name == "ridge":
+            errors = M.ridge_fold_errors(M.fold_moments(self.parts[0], self.fold, len(D.FEATURES)), M.SPECS[name].params["alpha"])
+        elif name in M.BOOSTERS:
+            errors = self.boosters[0][name][1]
+        else:
+            errors = M.forest_fold_errors(M.SPECS[name], self.binned, FOLDS)
+        return self._kept(M.cv_row(self.c.spark, name, errors), "cv")
 
     def _kept(self, df, name):
         path = shared_path(self.c.spark, name)

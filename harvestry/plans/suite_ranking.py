@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harvestry.functions import domains as D
-from harvestry.functions.numeric import np_round, sql_hash_bucket, sql_np_round
+from harvestry.functions.numeric import np_round, sql_np_round
 from harvestry.operators import profiling as X
 from harvestry.operators import ranking as O
 from harvestry.operators.aggregates import pivot_mean
@@ -156,18 +156,21 @@ def q_sample_exact(c):
     return O.sample_exact(d, 500, F.col("k"), 42)
 
 
+_HASH_RANK_SQL = f"row_number() over (order by md5({_KEY_SQL} || '42'), {_KEY_SQL})"
+
+
 @query("train_test_split", f"""
-select {_KEY_SQL} as k, {sql_hash_bucket(_KEY_SQL + " || '42'", 100)} < 20 as is_test from merged_keyed""",
-       ops="O7")
+select {_KEY_SQL} as k, {_HASH_RANK_SQL} <= (count(*) over () * 20 + 99) // 100 as is_test from merged_keyed""", ops="O7")
 def q_train_test_split(c):
-    return c.merged_keyed.select(_key().alias("k"), O.split_flag(_key(), 20, 42).alias("is_test"))
+    return c.merged_keyed.select(_key().alias("k"), O.exact_split(c.merged_keyed, _key(), 20, 42).alias("is_test"))
 
 
 @query("kfold_assign", f"""
-select {_KEY_SQL} as k, cast({sql_hash_bucket(_KEY_SQL + " || '42'", 5)} as int) as fold from merged_keyed""",
+with r as (select {_KEY_SQL} as k, {_HASH_RANK_SQL} - 1 as r, count(*) over () // 5 as low, count(*) over () % 5 as longer from merged_keyed)
+select k, cast(case when r < (low + 1) * longer then r // (low + 1) else longer + (r - (low + 1) * longer) // low end as int) as fold from r""",
        ops="O8")
 def q_kfold_assign(c):
-    return c.merged_keyed.select(_key().alias("k"), O.fold_id(_key(), 5, 42).alias("fold"))
+    return c.merged_keyed.select(_key().alias("k"), O.exact_folds(c.merged_keyed, _key(), 5, 42).alias("fold"))
 
 
 @query("arg_max", """

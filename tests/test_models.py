@@ -2,6 +2,7 @@
 
 import numpy as np
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from harvestry.operators import models as M
 
@@ -41,27 +42,46 @@ def _frame(spark, n=300):
     return X, y, spark.createDataFrame([(str(i), Vectors.dense(x.tolist()), float(t)) for i, (x, t) in enumerate(zip(X, y))], schema)
 
 
-def test_estimators_have_the_published_settings():
-    """Every setting of the registry reaches the estimator; the five differ."""
-    got = {s.name: s.estimator(100, 1.0) for s in M.REGISTRY}
+def test_learners_have_the_published_settings():
+    """Every setting of the registry reaches the learner; the four differ."""
+    got = {s.name: s.growth() for s in M.REGISTRY if s.family != "ridge"}
     forest = got["random_forest"]
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (100, 20, 5)
-    boosters = {n: (g.getMaxIter(), g.getStepSize(), g.getMaxDepth(), g.getMinInstancesPerNode(), g.getMaxBins(), g.getSubsamplingRate())
-                for n, g in got.items() if n not in ("ridge", "random_forest")}
-    assert boosters == {"hist_gradient_boosting": (200, 0.05, 8, 20, 255, 1.0), "xgboost": (200, 0.05, 6, 1, 32, 0.8),
-                        "lightgbm": (200, 0.05, 8, 63, 255, 0.8)}
+    assert (forest.trees, forest.depth, forest.min_rows, forest.rate) == (100, 20, 5, None)
+    boosters = {n: (g.trees, g.rate, g.depth, g.leaves, g.min_rows, g.l2, g.rows, g.features) for n, g in got.items() if n != "random_forest"}
+    assert boosters == {"hist_gradient_boosting": (200, 0.05, 8, 31, 20, 0.0, 1.0, 1.0), "xgboost": (200, 0.05, 6, None, 1, 1.0, 0.8, 0.8),
+                        "lightgbm": (200, 0.05, 8, 63, 20, 0.0, 1.0, 0.8)}
 
 
-def test_run_log_reads_the_fitted_stage(spark):
+def test_run_log_reads_the_fitted_model(spark):
     _, _, df = _frame(spark)
     spec = M.ModelSpec("small", "random_forest", {"n_estimators": 7, "max_depth": 3, "min_samples_leaf": 5})
     model, _ = M.fit(spec, df)
     used = M.used_params(model)
-    assert (used["numTrees"], used["maxDepth"], used["minInstancesPerNode"], used["fitted_trees"]) == ("7", "3", "5", "7")
+    assert (used["trees"], used["depth"], used["min_rows"], used["fitted_trees"]) == ("7", "3", "5", "7") and int(used["fitted_leaves"]) <= 8
     imp = M.tree_importance(model, 36).collect()
     assert len(imp) == 36 and abs(sum(r.importance for r in imp) - 1) < 1e-9
 
 
+def test_ridge_folds_by_subtraction_equal_separate_fits(spark):
+    from harvestry.operators.ranking import exact_folds
+    _, _, df = _frame(spark, 400)
+    fold = exact_folds(df, F.col("k"), 5, 42)
+    got = M.ridge_fold_errors(M.fold_moments(df, fold, 36), 10.0)
+    for k in range(5):
+        model, _ = M.fit(M.SPECS["ridge"], df.where(fold != k))
+        e = F.col("label") - F.col("prediction")
+        alone = model.transform(df.where(fold == k)).agg(F.sqrt(F.avg(e * e))).first()[0]
+        assert abs(got[k] - alone) < 1e-9 * alone
+
+
+def test_every_family_is_cross_validated(spark):
+    X, y, df = _frame(spark)
+    for spec in (M.ModelSpec("f", "random_forest", {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 5}),
+                 M.ModelSpec("b", "gbt", {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3})):
+        r = M.cv_rmse(spec, df, "k", 5).first()
+        assert r.n_folds == 5 and 0 < r.cv_rmse_mean < y.std() * 1.2
+
+
 def test_null_feature_is_an_error(spark):
     import pytest
     from harvestry.functions import domains as D

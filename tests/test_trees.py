@@ -128,7 +128,7 @@ def test_forest_is_the_same_in_any_split_of_the_work(spark):
     edges = T.bin_edges(table(spark, X, y), 5)
     blocks = T.write_blocks(table(spark, X, y), edges)
     growth = T.Growth(trees=12, depth=20, min_rows=5)
-    one, many = (T.fit_forest(blocks, T.Learner(growth), 5, T.fold_totals(blocks), n) for n in (1 << 16, 60))
+    one, many = (T.fit_forests(blocks, [T.Learner(growth)], 5, T.fold_totals(blocks), n)[0] for n in (1 << 16, 60))
     a, b = (T.TreeModel.of(t, 0.0, growth, edges) for t in (one, many))
     assert np.abs(a.predict_array(X) - b.predict_array(X)).max() < 1e-8
     r2 = 1 - np.sum((a.predict_array(X) - y) ** 2) / np.sum((y - y.mean()) ** 2)
@@ -171,3 +171,15 @@ def test_constant_label_and_one_row(spark):
         blocks = T.write_blocks(table(spark, X, y), edges)
         ((base, trees),), _ = T.fit_boosters(blocks, [T.Learner(POLICIES["level"])], 2, T.fold_totals(blocks))
         assert np.allclose(T.TreeModel.of(trees, base, POLICIES["level"], edges).predict_array(X), y)
+
+
+def test_forest_error_on_the_fold_left_out(spark):
+    X, y = data(300)
+    edges = T.bin_edges(table(spark, X, y), 4)
+    blocks = T.write_blocks(table(spark, X, y), edges, F.col("f"))
+    growth = T.Growth(trees=5, depth=6, min_rows=5)
+    learners = [T.Learner(growth, k) for k in (0, 3)]
+    for learner, trees in zip(learners, T.fit_forests(blocks, learners, 4, T.fold_totals(blocks))):
+        out = np.arange(len(y)) % 5 == learner.without
+        e = y[out] - T.TreeModel.of(trees, 0.0, growth, edges).predict_array(X[out])
+        assert abs(T.forest_error(blocks, learner, trees, 4) - np.sqrt(np.mean(e * e))) < 1e-9
