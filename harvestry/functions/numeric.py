@@ -20,19 +20,20 @@ def np_round(c: str | Column, digits: int) -> Column:
     """numpy rounding rule: half-to-even on ``x * 10^digits``.
 
     Spark ``round`` is decimal half-up; this matches numpy and DuckDB
-    ``round_even``.
+    ``round_even``. A rounded zero is positive: vectors drop the sign of a zero
+    that scalar columns keep.
     """
     scale = float(10 ** digits)
     if digits == 0:
-        return F.rint(col(c))
-    return F.rint(col(c) * F.lit(scale)) / F.lit(scale)
+        return F.rint(col(c)) + F.lit(0.0)
+    return F.rint(col(c) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def sql_np_round(expr: str, digits: int) -> str:
     """The same rounding rule written for the DuckDB oracle."""
     if digits == 0:
-        return f"round_even(({expr}), 0)"
-    return f"(round_even(({expr}) * 1e{digits}, 0) / 1e{digits})"
+        return f"(round_even(({expr}), 0) + 0.0e0)"
+    return f"(round_even(({expr}) * 1e{digits}, 0) / 1e{digits} + 0.0e0)"
 
 
 def safe_div(num: str | Column, den: str | Column, zero: float | None = 0.0) -> Column:

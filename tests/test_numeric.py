@@ -37,3 +37,13 @@ def test_case_map_default(spark):
     df = spark.createDataFrame([("a",), ("z",)], "x string")
     out = [r["v"] for r in df.select(case_map("x", {"a": "A"}, "Other").alias("v")).collect()]
     assert out == ["A", "Other"]
+
+
+@pytest.mark.parametrize("x,n", [(-0.0, 2), (-0.001, 2), (-0.4, 0), (0.0, 1)])
+def test_a_rounded_zero_is_positive_in_both_engines(spark, x, n):
+    import duckdb
+
+    from harvestry.functions.numeric import sql_np_round
+    got = spark.createDataFrame([(x,)], "x double").select(np_round("x", n).alias("v")).first()["v"]
+    sql = duckdb.sql(f"select {sql_np_round('x', n)} as v from (select {x!r}::double as x)").fetchall()[0][0]
+    assert str(got) == "0.0" == str(sql)
