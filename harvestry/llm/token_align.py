@@ -50,35 +50,31 @@ SPACE = "▁"
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices (into A, into B) of the tokens that end at a byte offset common to both ascending arrays."""
-    width = 8
-    raw_a, raw_b = ends_a.astype(np.int64).tobytes(), ends_b.astype(np.int64).tobytes()
+    raw_a, raw_b = ends_a.astype("<i8").tobytes(), ends_b.astype("<i8").tobytes()
     a, b = ends_a.tolist(), ends_b.tolist()
-    n, m, i, j, at_a, at_b = len(a), len(b), 0, 0, [], []
+    n, m, i, j, starts, shifts, sizes = len(a), len(b), 0, 0, [], [], []
     while i < n and j < m:
         if a[i] < b[j]:
             i += 1
         elif a[i] > b[j]:
             j += 1
         else:
-            k, step, most = 1, 1, min(n - i, m - j)
+            k, step, most = 1, 4, min(n - i, m - j)
             while k < most:
-                size = min(step, most - k)
-                x, y = width * (i + k), width * (j + k)
-                if raw_a[x:x + width * size] == raw_b[y:y + width * size]:
-                    k, step = k + size, 2 * step
-                    continue
-                while size > 1:  # the first of these ends that differs
-                    half = size >> 1
-                    x, y = width * (i + k), width * (j + k)
-                    if raw_a[x:x + width * half] == raw_b[y:y + width * half]:
-                        k, size = k + half, size - half
-                    else:
-                        size = half
-                break
-            at_a.extend(range(i, i + k))
-            at_b.extend(range(j, j + k))
+                x, y, size = 8 * (i + k), 8 * (j + k), 8 * min(step, most - k)
+                block_a, block_b = raw_a[x:x + size], raw_b[y:y + size]
+                if block_a != block_b:
+                    differ = int.from_bytes(block_a, "little") ^ int.from_bytes(block_b, "little")
+                    k += (differ & -differ).bit_length() - 1 >> 6  # the first of these ends that differs
+                    break
+                k, step = k + (size >> 3), 2 * step
+            starts.append(i)
+            shifts.append(j - i)
+            sizes.append(k)
             i, j = i + k, j + k
-    return np.array(at_a, np.int64), np.array(at_b, np.int64)
+    size = np.array(sizes, np.int64)
+    at = np.repeat(np.array(starts, np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return at, at + np.repeat(np.array(shifts, np.int64), size)
 
 
 class TokenPair:
@@ -107,33 +103,31 @@ class TokenPair:
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         ids = max(len(self.bytes_a), len(self.bytes_b))
-        self.digits = np.array([list(str(i).ljust(8).encode()) for i in range(ids)], np.uint8)
-        self.n_digits = np.array([len(str(i)) for i in range(ids)], np.int64)
+        self.ids = ids
+        self.written = np.frombuffer(b"".join(f"{i}{end}".encode().ljust(8, b"\0") for end in ",|;" for i in range(ids)), "<u8")
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """(A ids, B ids, and the indices in each at which groups end), or None where the text has no tokens."""
         if not text:
             return None
         spaced = " " + text
-        a, b = self.a.encode_ordinary(spaced), self.b.encode(text)
+        a, b = self.a.encode_to_numpy(spaced, disallowed_special=()), self.b.encode(text)
         raw = spaced.encode()
-        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a)) != raw:
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or self.a.decode_bytes(a.tolist()) != raw:
             return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a, b = a.astype(np.int64), np.array(b, np.int64)
         return a, b, *common_ends(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
 
     def group_digest(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
         """SHA-256 of the groups as ``a1,a2|b1;a3|b2,b3``."""
         before_b = np.concatenate([[0], at_b[:-1] + 1])
         size_a, size_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
-        ids, ends = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        written = np.empty(len(a) + len(b), np.int64)
         place_a, place_b = np.arange(len(a)) + np.repeat(before_b, size_a), np.arange(len(b)) + np.repeat(at_a + 1, size_b)
-        ids[place_a], ids[place_b] = a, b
-        ends[place_a[at_a]], ends[place_b[at_b]] = ord("|"), ord(";")
-        cells, width = self.digits[ids], self.n_digits[ids]
-        cells[np.arange(len(ids)), width] = ends
-        text = cells[np.arange(cells.shape[1]) <= width[:, None]]
-        return hashlib.sha256(text[:-1].tobytes()).hexdigest()
+        written[place_a], written[place_b] = a, b
+        written[place_a[at_a]] += self.ids  # | and ; after the last tokens of a group
+        written[place_b[at_b]] += 2 * self.ids
+        return hashlib.sha256(self.written[written].tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 def worker_pair(byte_bpe: str, piece_bpe: str) -> TokenPair:
