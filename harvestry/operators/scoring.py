@@ -1,6 +1,7 @@
 """Batch what-if scoring over a DataFrame of scenarios.
 
-A model is any object with ``predict(features: dict[str, Column]) -> Column``.
+A model is any object with ``predict(features: dict[str, Column]) -> Column``;
+``operators.fitted`` makes one of a saved fitted model.
 ``LinearModel`` turns a standardised linear model (coefficient table) into one
 Catalyst expression; its SQL twin feeds the oracle. The four-crop ranking is
 row-local (per-crop columns + ``sort_array``), so it never shuffles; the
@@ -106,8 +107,12 @@ def with_crop_scores(df: DataFrame, model, keep: list[str]) -> DataFrame:
     crop's score then adds them in feature order with its own crop-dependent
     terms, so each generated method stays small (JIT-compilable) and the
     result is bit-identical to scoring the full feature vector. Ranks are
-    pairwise comparisons of four numbers: no sort, no shuffle.
+    pairwise comparisons of four numbers: no sort, no shuffle. A model without
+    terms (fitted trees) scores the four full feature vectors of the row.
     """
+    if not hasattr(model, "term"):
+        return _with_ranks(df.select(*keep, "rainfall_mm", "temperature_celsius", *[
+            model.predict(scenario_features(F.lit(crop))).alias(f"_p{k}") for k, crop in enumerate(D.CROPS)]))
     feats = scenario_features(F.lit(D.CROPS[0]))
     shared = {n: model.term(n, e) for n, e in feats.items() if n not in CROP_DEPENDENT}
     shared = {n: t for n, t in shared.items() if t is not None}
@@ -119,7 +124,10 @@ def with_crop_scores(df: DataFrame, model, keep: list[str]) -> DataFrame:
         terms = {n: (model.term(n, cf[n]) if n in CROP_DEPENDENT else
                      (F.col(SHARED_PREFIX + n) if n in shared else None)) for n in cf}
         scores.append(model.sum_terms(terms))
-    sc = base.select(*keep, "rainfall_mm", "temperature_celsius", *[p.alias(f"_p{k}") for k, p in enumerate(scores)])
+    return _with_ranks(base.select(*keep, "rainfall_mm", "temperature_celsius", *[p.alias(f"_p{k}") for k, p in enumerate(scores)]))
+
+
+def _with_ranks(sc: DataFrame) -> DataFrame:
     p1 = [np_round(f"_p{k}", 1) for k in range(len(D.CROPS))]
     ranks = []
     for k in range(len(D.CROPS)):
@@ -227,6 +235,8 @@ def optimize_best(scenarios: DataFrame, model, keep: list[str] | None = None) ->
             keys.append(F.rint(p * F.lit(10.0)).cast("long") * F.lit(64)
                         + F.lit((32 if fert else 0) + (16 if irri else 0)) + (F.lit(15) - F.col("_di")))
     key = F.greatest(*keys)
+    if not const_terms:  # Python scores are made before the aggregate
+        g, key = g.select(*carry, key.alias("_k")), F.col("_k")
     best = g.groupBy(*carry).agg(F.max(key).alias("_key"))
     day_idx = F.lit(15) - (F.col("_key") % 16)
     dec = best.select(*carry,
