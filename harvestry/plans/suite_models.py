@@ -5,6 +5,7 @@ the same fits share them through ``Training``."""
 
 from __future__ import annotations
 
+import hashlib
 import time
 from functools import cache, cached_property
 
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 from harvestry.functions import domains as D
 from harvestry.functions.features import build_features
 from harvestry.functions.numeric import np_round
+from harvestry.operators import fitted as X
 from harvestry.operators import models as M
+from harvestry.operators import scoring as R
 from harvestry.operators.ranking import exact_folds, mean_rank
 from harvestry.plans.registry import query
-from harvestry.session import shared_path
+from harvestry.session import shared_path, stable_path
 from harvestry.sources import fixtures as FX
+from harvestry.sources.runs import append_run, read_runs
 
 
 FOLDS = 5
@@ -33,6 +37,7 @@ class Training:
         self.fit = cache(self._fit)
         self.scores = cache(self._scores)
         self.cv = cache(self._cv)
+        self.scorer = cache(self._scorer)
 
     @cached_property
     def table(self):
@@ -84,6 +89,12 @@ class Training:
             errors = M.forest_fold_errors(M.SPECS[name], self.binned, FOLDS)
         return self._kept(M.cv_row(self.c.spark, name, errors), "cv")
 
+    def _scorer(self, name):
+        """The model as a user gets it: saved, loaded, ready for the what-if operators."""
+        path = shared_path(self.c.spark, f"model-{name}")
+        X.save_model(self.c.spark, self.fit(name)[0], path)
+        return X.load_scorer(self.c.spark, path)
+
     def _kept(self, df, name):
         path = shared_path(self.c.spark, name)
         df.write.parquet(path)
@@ -107,12 +118,14 @@ def train_test(c):
 
 
 @query("model_registry", f"""
-select r.*, n.n_train from (values {", ".join(f"('{s.name}', '{s.family}', {str(s.family == 'ridge').lower()}, '{M.params_text(s)}')" for s in M.REGISTRY)})
+select r.*, n.n - n.n_test as n_train, n.n_test from (values {", ".join(f"('{s.name}', '{s.family}', {str(s.family == 'ridge').lower()}, '{M.params_text(s)}')" for s in M.REGISTRY)})
   as r(model, family, scale, params),
-  (select count(*) as n_train from merged) n""", ops="M6")
+  (select count(*) as n, (count(*) * 20 + 99) // 100 as n_test from merged) n""", ops="M6")
 def q_model_registry(c):
-    """The registry beside the number of rows that its models would learn from."""
-    return M.registry_frame(c.spark).withColumn("n_train", c.merged.agg(F.count(F.lit(1))).scalar())
+    """The registry beside the rows that its models learn from and are tested on."""
+    n = c.merged.agg(F.count(F.lit(1)).alias("n")).select("n", F.floor((F.col("n") * 20 + 99) / 100).cast("bigint").alias("n_test"))
+    one = M.registry_frame(c.spark).withColumns({"_n": n.select("n").scalar(), "n_test": n.select("n_test").scalar()})
+    return one.withColumn("n_train", F.col("_n") - F.col("n_test")).drop("_n")
 
 
 def _train(name):
@@ -127,19 +140,31 @@ for _key, _name, _ops in [("train_ridge", "ridge", "M1"), ("train_random_forest"
     query(_key, None, ops=_ops)(_train(_name))
 
 
+METRICS = ("rmse", "mae", "r2", "mape", "cv_rmse_mean", "cv_rmse_std", "fit_seconds")
+
+
 def _run_row(c, name):
     t = training(c)
     params = M.used_params(t.fit(name)[0])
-    return t.scores(name).select("model", F.create_map(*[x for k, v in sorted(params.items()) for x in (F.lit(k), F.lit(v))]).alias("params"),
-                                 F.create_map(*[x for k in ("rmse", "mae", "r2", "mape", "fit_seconds")
-                                                for x in (F.lit(k), F.col(k).cast("double"))]).alias("metrics"))
+    pairs = lambda names, value: F.create_map(*[x for k in names for x in (F.lit(k), value(k))])
+    return t.scores(name).join(t.cv(name), "model").select(
+        "model", pairs(sorted(params), lambda k: F.lit(params[k])).alias("params"),
+        pairs(METRICS, lambda k: F.col(k).cast("double")).alias("metrics"))
+
+
+def _log(c, name):
+    """Add the session's run of a model on this folder to the lasting log; a second call finds it there."""
+    log = stable_path(c.spark, "model_runs")
+    folder = hashlib.md5(c.sf_dir.encode()).hexdigest()[:8]
+    append_run(_run_row(c, name), log, f"{c.spark.sparkContext.applicationId}-{folder}-{name}")
+    return log
 
 
 @query("train_model", None, ops="M7 M9")
 def q_train_model(c):
     """One model end to end: CV RMSE on the training part, fit, test metrics, a row in the run log."""
     t = training(c)
-    _run_row(c, "ridge").write.mode("append").parquet(shared_path(c.spark, "model_runs"))
+    _log(c, "ridge")
     return t.scores("ridge").join(t.cv("ridge"), "model")
 
 
@@ -287,11 +312,10 @@ def q_model_roundtrip(c):
 
 @query("model_runs_table", None, ops="S14")
 def q_model_runs_table(c):
-    """One row per fit: the settings of the fitted stages and their metrics."""
-    path = shared_path(c.spark, "model_runs")
+    """The run log after one run per model: the settings of the fitted models and their seven metrics."""
     for spec in M.REGISTRY:
-        _run_row(c, spec.name).write.mode("append").parquet(path)
-    return c.spark.read.parquet(path)
+        log = _log(c, spec.name)
+    return read_runs(c.spark, log)
 
 
 @query("pca_outputs", None, ops="S16")
@@ -315,3 +339,22 @@ def q_model_summary(c):
     path = shared_path(c.spark, "model_summary")
     summary.write.mode("overwrite").json(path)
     return c.spark.read.json(path)
+
+
+# ---------------------------------------------------------------------------
+# what-if queries with the models that training produced
+# ---------------------------------------------------------------------------
+
+def _register_fitted(name, label):
+    def model(c):
+        return training(c).scorer(name)
+
+    query(f"predict_{label}", None, ops="R1")(lambda c: R.predict_yield(c.scenarios, model(c)))
+    query(f"recommend_{label}", None, ops="R2 W1")(lambda c: R.recommend_crops(c.scenarios, model(c)))
+    query(f"optimize_{label}", None, ops="R3 R4")(lambda c: R.optimize_best(c.scenarios, model(c)))
+    query(f"compare_{label}", None, ops="R6")(lambda c: R.compare_scenarios(c.scenarios, model(c)))
+    query(f"sensitivity_{label}", None, ops="R7 R8")(lambda c: R.sensitivity(c.scenarios, model(c), "rainfall_mm", 100, 1550, 50))
+
+
+_register_fitted("ridge", "fitted_ridge")
+_register_fitted("hist_gradient_boosting", "fitted_booster")

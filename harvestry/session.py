@@ -61,3 +61,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/harvestry/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stable_path(spark: SparkSession, name: str) -> str:
+    """The path of a lasting table under the shared folder: the same in every call and session."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/harvestry/{name}"
