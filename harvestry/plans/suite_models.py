@@ -353,8 +353,9 @@ def _register_fitted(name, label):
     query(f"recommend_{label}", None, ops="R2 W1")(lambda c: R.recommend_crops(c.scenarios, model(c)))
     query(f"optimize_{label}", None, ops="R3 R4")(lambda c: R.optimize_best(c.scenarios, model(c)))
     query(f"compare_{label}", None, ops="R6")(lambda c: R.compare_scenarios(c.scenarios, model(c)))
-    query(f"sensitivity_{label}", None, ops="R7 R8")(lambda c: R.sensitivity(c.scenarios, model(c), "rainfall_mm", 100, 1550, 50))
 
 
 _register_fitted("ridge", "fitted_ridge")
+query("sensitivity_fitted_ridge", None, ops="R7 R8")(
+    lambda c: R.sensitivity(c.scenarios, training(c).scorer("ridge"), "rainfall_mm", 100, 1550, 50))
 _register_fitted("hist_gradient_boosting", "fitted_booster")

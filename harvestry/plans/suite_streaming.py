@@ -10,7 +10,7 @@ from harvestry.plans.registry import query
 from harvestry.plans.suite_quality import requests
 from harvestry.plans.suite_scoring import MODEL, _P
 from harvestry.session import shared_path
-from harvestry.streaming.scoring import stream_score, stream_validate
+from harvestry.streaming.scoring import stream_decide, stream_score, stream_validate
 
 
 def _land(df, c, name):
@@ -37,3 +37,18 @@ def q_stream_validate(c):
                           shared_path(c.spark, "chk_validate"))
     return out.select("scenario_id", "crop", "reasons", "accepted")
 
+
+
+def _decided(c):
+    src, schema = _land(c.scenarios, c, "landing_decide")
+    return stream_decide(c.spark, src, schema, MODEL, shared_path(c.spark, "decided"), shared_path(c.spark, "chk_decided"))
+
+
+@query("stream_rank", "select * from ranked_crops", ops="W1 R2 T1")
+def q_stream_rank(c):
+    return _decided(c)[0]
+
+
+@query("stream_optimize", "select * from opt_best", ops="R3 R4 T1")
+def q_stream_optimize(c):
+    return _decided(c)[1]

@@ -7,6 +7,7 @@ for flags. Written tables go under the cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,9 @@ def write_csv(df: DataFrame, path: str, headers: Mapping[str, str] | None = None
     return path
 
 
-def _utf8_or_latin1(text: Column) -> Column:
-    """A value read as Latin-1 holds its bytes one for one: decoded as UTF-8 if they are valid, else left as Latin-1."""
-    as_utf8 = F.encode(text, "ISO-8859-1").cast("string")
-    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(text)
+def _as_utf8(text: Column) -> Column:
+    """A value read as Latin-1 holds its bytes one for one; here they are taken as UTF-8."""
+    return F.encode(text, "ISO-8859-1").cast("string")
 
 
 def _decode_name(name: str) -> str:
@@ -35,24 +35,48 @@ def _decode_name(name: str) -> str:
         return name
 
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType | None = None,
+def read_delimited(spark: SparkSession, path: str, schema: StructType,
                    header: bool = True, sep: str = ",") -> DataFrame:
-    """Delimited scan with header, in one lazy pass.
-
-    The bytes are read as Latin-1, which loses nothing, and each text value is
-    decoded on its own: UTF-8 where its bytes are valid, Latin-1 where they are
-    not. Files of both kinds may lie in one folder, and a genuine U+FFFD stays."""
-    r = (spark.read.option("header", header).option("sep", sep).option("encoding", "ISO-8859-1")
-         .option("mode", "PERMISSIVE"))
-    df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
-    return df.select(*[(_utf8_or_latin1(F.col(f"`{f.name}`")) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`"))
-                       .alias(f.name if schema is not None else _decode_name(f.name)) for f in df.schema.fields])
-
-
-def all_text_schema(spark: SparkSession, path: str) -> StructType:
-    """Header names as an all-string schema (reads only the first line)."""
-    names = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path).columns
-    return StructType([StructField(_decode_name(n), StringType()) for n in names])
+    """Delimited scan with header. A file whose text is all valid UTF-8 is
+    UTF-8, any other is Latin-1, whatever single values of it would pass for.
+
+    The bytes are read as Latin-1, which loses nothing. One aggregate finds the
+    files with an invalid value; they are joined back by path, by broadcast: at
+    most a row per file, of which the driver holds the listing anyway. Nothing
+    runs before the result is asked for. A genuine U+FFFD stays."""
+    df = (spark.read.option("header", header).option("sep", sep).option("encoding", "ISO-8859-1")
+          .option("mode", "PERMISSIVE").schema(schema).csv(path))
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
+    if not texts:
+        return df
+    raw = df.select("*", F.col("_metadata.file_path").alias("__file"))
+    valid = F.lit(True)
+    for name in texts:
+        valid = valid & F.coalesce(F.is_valid_utf8(_as_utf8(F.col(f"`{name}`"))), F.lit(True))
+    latin = raw.groupBy("__file").agg(F.bool_and(valid).alias("utf8")).where("not utf8").select(F.col("__file").alias("__latin"))
+    named = raw.join(F.broadcast(latin), F.col("__file") == F.col("__latin"), "left")
+    return named.select(*[(F.when(F.col("__latin").isNull(), _as_utf8(F.col(f"`{f.name}`"))).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+                           if f.name in texts else F.col(f"`{f.name}`")) for f in schema.fields])
+
+
+def all_text_schema(spark: SparkSession, path: str, sep: str = ",") -> StructType:
+    """Header names as an all-string schema. The driver reads the first line of one file; no job runs."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    if fs.getFileStatus(place).isDirectory():
+        names = sorted(s.getPath().toString() for s in fs.listStatus(place)
+                       if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", ".")))
+        if not names:
+            return StructType([])
+        place = jvm.org.apache.hadoop.fs.Path(names[0])
+    codec, stream = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place), fs.open(place)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "ISO-8859-1"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return StructType([StructField(_decode_name(n), StringType()) for n in next(csv.reader([line or ""], delimiter=sep), [])])
 
 
 def load_text_table(spark: SparkSession, path: str) -> DataFrame:

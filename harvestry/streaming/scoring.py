@@ -1,18 +1,20 @@
-"""Structured Streaming uses of the batch operators.
+"""Structured Streaming uses of the batch operators.
 
-Both are stateless: scoring and validation are row-local expressions, so the
-same functions run on a streaming DataFrame. The file source and the sinks
-live under the shared checkpoint folder, with a checkpoint location per
+Scoring and validation are row-local expressions, so the same functions run on a
+streaming DataFrame. Ranking and grid search (W1/R3) group rows, which streams do
+not allow outside a time window; they run on each micro-batch. The file source and
+the sinks live under the shared checkpoint folder, with a checkpoint location per
 query, so a restarted query resumes exactly where it stopped.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from harvestry.operators.scoring import predict_yield
+from harvestry.operators.scoring import optimize_best, predict_yield, recommend_crops
 from harvestry.operators.validation import validate
 
 
@@ -52,3 +54,40 @@ def stream_validate(spark: SparkSession, source_dir: str, schema: StructType, ac
     acc = spark.read.parquet(accepted_dir).withColumn("accepted", F.lit(True))
     rej = spark.read.parquet(rejected_dir).withColumn("accepted", F.lit(False))
     return acc.unionByName(rej).drop("batch_id")
+
+
+def _sink(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """All batches of a sink; without any, no rows."""
+    schema = like.schema
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/batch_id=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def stream_decide(spark: SparkSession, source_dir: str, schema: StructType, model, sink_dir: str, checkpoint_dir: str,
+                  keep: list[str] | None = None, files_per_batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Rank the crops and search the management grid for every new scenario.
+
+    Each micro-batch is ranked and searched by the batch operators and written to
+    two sinks in folders of its batch id, which a replay after a crash overwrites,
+    so nothing is doubled or lost. Returns (rankings, best configurations)."""
+    ids = keep or ["scenario_id"]
+    grid_keep = [*ids, "crop"] if "crop" not in ids else ids
+    parts = {"rankings": lambda df: recommend_crops(df, model, ids), "best": lambda df: optimize_best(df, model, grid_keep)}
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()  # read once for the two sinks
+        try:
+            for name, decide in parts.items():
+                decide(rows).write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+    (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+     .trigger(availableNow=True).start().awaitTermination())
+    empty = spark.createDataFrame([], schema)
+    return tuple(_sink(spark, f"{sink_dir}/{name}", decide(empty)) for name, decide in parts.items())
