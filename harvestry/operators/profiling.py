@@ -74,20 +74,18 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     """
     y = "__y"
     data = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias(y)).where(F.col(y).isNotNull())
-    # one wide aggregate: the range of each feature and of the target where the feature is present
-    def span(f):
-        seen = F.when(F.col(f).isNotNull(), F.col(y))
-        return F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"), F.min(seen).alias("ylo"), F.max(seen).alias("yhi")).alias(f"__r_{f}")
-    ranges = data.agg(F.struct(*[span(f) for f in features])).scalar()
-    wide = data.withColumn("__ranges", ranges)
-
-    def cell(f):
-        r = F.col("__ranges")[f"__r_{f}"]
-        bx, by = _bin(F.col(f), r["lo"], r["hi"], bins), _bin(F.col(y), r["ylo"], r["yhi"], bins)
-        return F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), bx.alias("bx"), by.alias("by")))
-
-    joint = (wide.select(F.explode(F.array(*[cell(f) for f in features])).alias("c")).where(F.col("c").isNotNull())
-             .groupBy("c.feature", "c.bx", "c.by").agg(F.count(F.lit(1)).alias("nxy")))
+    # one wide aggregate: the range of each feature and of the target where the feature is present, as arrays in feature order
+    seen = [F.when(F.col(f).isNotNull(), F.col(y)) for f in features]
+    ranges = data.agg(F.struct(F.array(*[F.min(f) for f in features]).alias("lo"), F.array(*[F.max(f) for f in features]).alias("hi"),
+                               F.array(*[F.min(s) for s in seen]).alias("ylo"), F.array(*[F.max(s) for s in seen]).alias("yhi"))).scalar()
+    # the values go through the generator as one array of doubles, so that it stays in generated code; the cell is one integer
+    cells = (data.select(y, F.posexplode(F.array(*features)).alias("i", "x")).where(F.col("x").isNotNull())
+             .select("i", "x", y, ranges.alias("r")))
+    at = lambda side: F.get(F.col("r")[side], F.col("i"))
+    bx, by = _bin(F.col("x"), at("lo"), at("hi"), bins), _bin(F.col(y), at("ylo"), at("yhi"), bins)
+    counted = cells.groupBy(((F.col("i") * bins + bx) * bins + by).alias("cell")).agg(F.count(F.lit(1)).alias("nxy"))
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), (F.floor(F.col("cell") / (bins * bins)) + 1).cast("int"))
+    joint = counted.select(name.alias("feature"), (F.floor(F.col("cell") / bins) % bins).alias("bx"), (F.col("cell") % bins).alias("by"), "nxy")
     from pyspark.sql import Window
     wf = Window.partitionBy("feature")
     j = (joint.withColumn("n", F.sum("nxy").over(wf))
