@@ -10,7 +10,9 @@ needs a between t/(2-t) * b and (2-t)/t * b, so a part meets only the templates
 in those bounds, and of them only those that share a bigram. Templates are a
 parameter held by every task; a best span begins and ends with a bigram of its
 template, and t/(2-t) * b of its bigrams lie in it, so other places are skipped. Each document is scanned on its own, so nothing is
-shuffled and one long text costs one task its own length.
+shuffled; a text costs its task a time in proportion to its length times the longest template that it shares words with,
+however often license texts repeat in it. Rows that repeat, or share an id or have none, give a row each; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Mapping
 from functools import cache
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import pyarrow as pa
@@ -39,6 +42,20 @@ list of conditions and the following disclaimer in the documentation and/or othe
 _AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
 INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
 
+_NO_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_LIABILITY = """IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+_AUTHOR = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
 #: Wording of public licenses and of the notices that name them.
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -65,6 +82,13 @@ not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin
+of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be
+plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered
+from any source distribution.""",
     "notice:MIT": "Released under the MIT License.",
     "notice:MIT-file": "Licensed under the MIT License. See LICENSE in the project root for license information.",
     "notice:Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -77,6 +101,14 @@ commercial or non-commercial, and by any means.""",
     "notice:CC-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "notice:CC0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
 }
+# whole texts of the short licenses, beside the grants alone
+TEMPLATES |= {
+    "MIT:full": TEMPLATES["MIT"] + " " + _NO_WARRANTY,
+    "ISC:full": TEMPLATES["ISC"] + " " + _AUTHOR,
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _AUTHOR,
+    "BSD-2-Clause:full": TEMPLATES["BSD-2-Clause"] + " " + _LIABILITY,
+    "BSD-3-Clause:full": TEMPLATES["BSD-3-Clause"] + " " + _LIABILITY,
+}
 
 
 def words_of(text: str) -> list[str]:
@@ -117,51 +149,61 @@ class TemplateIndex:
         return [(k, d) for k, d in scored if d >= self.threshold]
 
     def spans(self, words: list[str]) -> set[tuple[int, int]]:
-        """(first word, end) of the spans at the threshold: per template the best of all spans, then the best beside those found."""
+        """(first word, end) of the spans at the threshold: per template the best of all spans, then the best beside those found.
+
+        Each place of a shared bigram has its best span computed once. A queue gives the best of all; a place inside a span
+        already found is passed over, and one whose span runs into it is computed again up to its edge, which concerns
+        only places within a template's length of it. So the work is in proportion to the text, whatever repeats in it.
+        """
         at: dict[str, list[int]] = {}
         for i, g in enumerate(zip(words, words[1:])):
             for k in self.holders.get(g, ()):
                 at.setdefault(k, []).append(i)
         found = set()
         for k, hits in at.items():
-            todo = [(0, len(hits))]
-            while todo:
-                lo, hi = todo.pop()
-                if best := self._best_span(k, words, hits, lo, hi):
-                    first, last = best
-                    found.add((hits[first], hits[last] + 2))
-                    # a bigram beside the span must not share a word with it
-                    while first > lo and hits[first - 1] + 2 > hits[best[0]]:
-                        first -= 1
-                    while last + 1 < hi and hits[last + 1] < hits[best[1]] + 2:
-                        last += 1
-                    todo += [(lo, first), (last + 1, hi)]
+            queue = [(-d, first, last) for first in range(len(hits)) for d, last in self._from(k, words, hits, first, len(words))]
+            heapify(queue)
+            begins, ends = [], []  # of the spans found for this template, in order
+            while queue:
+                _, first, last = heappop(queue)
+                p = bisect_right(begins, hits[first] + 1)  # spans that begin at or before the place's second word
+                if p and ends[p - 1] > hits[first]:
+                    continue
+                edge = begins[p] if p < len(begins) else len(words)
+                if hits[last] + 2 > edge:
+                    for d, last in self._from(k, words, hits, first, edge):
+                        heappush(queue, (-d, first, last))
+                    continue
+                span = (hits[first], hits[last] + 2)
+                begins.insert(p, span[0])
+                ends.insert(p, span[1])
+                found.add(span)
         for i, w in enumerate(words if any((w,) in self.holders for w in words) else ()):
             if (w,) in self.holders:
                 found.add((i, i + 1))
         return found
 
-    def _best_span(self, k: str, words: list[str], hits: list[int], lo: int, hi: int) -> tuple[int, int] | None:
-        """Places in ``hits[lo:hi]`` of the first and last bigram of the best span at the threshold; the earliest, then longest, on a tie."""
+    def _from(self, k: str, words: list[str], hits: list[int], first: int, edge: int) -> list[tuple[float, int]]:
+        """(Dice, place in ``hits`` of the last bigram) of the best span at the threshold that begins at ``hits[first]`` and ends
+        by word ``edge``, the longest on a tie; empty without one."""
         template, size, (least, most) = self.templates[k], self.sizes[k], self.bounds[k]
-        need = max(math.ceil(least - 1e-9), 1)
-        best, where = 0.0, None
-        for first in range(lo, hi - need + 1):
-            begin = hits[first]
-            if hits[first + need - 1] - begin >= most + 1e-9:
-                continue
-            seen, shared = Counter(), 0
-            for last in range(first, hi):
-                n = hits[last] - begin + 1
-                if n > most + 1e-9:
-                    break
-                g = (words[hits[last]], words[hits[last] + 1])
-                seen[g] += 1
-                shared += seen[g] <= template[g]
+        need, begin = max(math.ceil(least - 1e-9), 1), hits[first]
+        if first + need > len(hits) or hits[first + need - 1] - begin >= most + 1e-9 or hits[first + need - 1] + 2 > edge:
+            return []
+        best, where, seen, shared = 0.0, None, {}, 0
+        for last in range(first, len(hits)):
+            at = hits[last]
+            n = at - begin + 1
+            if n > most + 1e-9 or at + 2 > edge:
+                break
+            g = (words[at], words[at + 1])
+            seen[g] = c = seen.get(g, 0) + 1
+            shared += c <= template[g]
+            if 2 * shared >= self.threshold * (n + size) - 1e-9:
                 d = 2 * shared / (n + size)
-                if d >= self.threshold and (d > best or d == best and where[0] == first):
-                    best, where = d, (first, last)
-        return where
+                if d >= self.threshold and d >= best:
+                    best, where = d, last
+        return [] if where is None else [(best, where)]
 
 
 @cache

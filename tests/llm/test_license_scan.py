@@ -75,3 +75,45 @@ def test_spans_that_repeat_are_all_found():
     index = L.TemplateIndex({"a": "one two three four five", "b": "single"}, 0.8)
     words = "x one two three four five one two three four five y single z one two three".split()
     assert index.spans(words) == {(1, 6), (6, 11), (12, 13)}
+
+
+def test_greedy_spans_equal_a_plain_greedy_search():
+    """Best span first, then the best beside it, by trying all spans of random texts made of a template's words."""
+    import random
+
+    rng, template = random.Random(2), "a b c d e f g a b"
+    index = L.TemplateIndex({"t": template}, 0.8)
+    t = L.bigrams(template.split())
+    for _ in range(300):
+        words = [rng.choice("abcdefgx") if rng.random() < 0.3 else template.split()[i % 9] for i in range(rng.randrange(2, 40))]
+        spans = [(-L.dice(L.bigrams(words[i:j]), t), i, -j) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        want, spans = set(), sorted(s for s in spans if -s[0] >= 0.8)
+        for _, i, j in spans:
+            inside = tuple(words[i:i + 2]) in t and tuple(words[-j - 2:-j]) in t
+            if inside and all(-j <= a or i >= b for a, b in want):
+                want.add((i, -j))
+        assert index.spans(words) == want
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        n = sum(1 for _, _, w in L.parts_of(text) for _ in L.default_index().matches(w))
+        return time.process_time() - start, n
+
+    L.default_index()
+    notices = [seconds("Released under the MIT License.\n" * n) for n in (800, 1600)]
+    assert notices[0][0] < 0.5 and notices[1][0] < 3 * notices[0][0] + 0.1 and notices[1][1] >= 1600
+    copies = [seconds((L.TEMPLATES["MIT"] + "\n\n") * n) for n in (20, 40)]
+    assert copies[1][0] < 3 * copies[0][0] + 0.1 and copies[1][1] >= 40
+
+
+def test_long_text_repeated_rows_and_null_ids(spark):
+    prose = " ".join(f"w{i % 997}" for i in range(10_000))
+    text = prose + "\n" + L.TEMPLATES["MIT:full"] + "\n" + prose
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, "y"), (None, None, None)], "doc_id long, text string, license string")
+    rows = L.scan_licenses(docs).collect()
+    assert sorted(((r.doc_id, r.license, r.dice) for r in rows), key=str) == sorted([(1, "MIT", 1.0)] * 2 + [(None, "MIT", 1.0), (None, None, None)], key=str)
+    assert all({(m.license, m.dice) for m in r.matches} >= {("MIT", 1.0), ("MIT:full", 1.0)} for r in rows if r.license)
