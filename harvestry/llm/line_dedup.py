@@ -15,24 +15,33 @@ counts. An insertion folds its lines to one row per key first (a line in a third
 of all documents is one row), asks the key's filter, and looks up only the keys
 that the filter may know in the exact table; all others are new. Deletions
 take keys whose count falls to zero out of the filter. Filters are one Python
-group per shard, bounded by the number of keys in a shard, not of lines.
+group per shard, bounded by the number of keys in a shard, not of lines. There
+are as many shards as the keys need at ``SHARD_KEYS`` each, a power of two; an
+index that outgrows twice that splits its shards and builds their filters anew
+from the exact counts.
+
+Null texts count as empty. Rows that share an id are one document; a null id is
+a document of its own kind. Other columns are ignored, whatever their names; an
+empty table gives an empty index.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.llm.common import BLANKS, lower_ascii, schema_of, store, whole_text
+from harvestry.llm.common import BLANKS, join_hot, lower_ascii, schema_of, store, whole_text
 from harvestry.llm.cuckoo import CuckooFilter
 
 MIN_CHARS = 10
-SHARDS = 64
+#: Keys that one filter is made for; shards follow the number of keys.
+SHARD_KEYS = 1 << 18
 
 
 def line_key(line: Column) -> Column:
@@ -51,13 +60,19 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.shiftright(F.xxhash64("digest"), 40), F.lit(shards)).cast("long")
 
 
+def _power(n: float) -> int:
+    """The smallest power of two that is at least ``n``."""
+    return 1 << max(math.ceil(n) - 1, 0).bit_length()
+
+
 @dataclass
 class LineIndex:
     refs: DataFrame | None = None
     counts: DataFrame | None = None
     filters: DataFrame | None = None
-    shards: int = SHARDS
+    shards: int | None = None
     min_chars: int = MIN_CHARS
+    shard_keys: int = SHARD_KEYS
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with ``docs`` too. Inserting a document again changes nothing."""
@@ -66,12 +81,24 @@ class LineIndex:
             known = self.refs.withColumnsRenamed({"digest": "_d", "doc": "_doc"})
             new = new.join(known, (F.col("digest") == F.col("_d")) & F.col("doc").eqNullSafe(F.col("_doc")), "left_anti")
         new = store(new, "line-refs")
-        per_key = new.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("least"))
-        per_key = store(per_key.select(_shard(self.shards).alias("shard"), "digest", F.xxhash64("digest").alias("h"), "n_docs", "least"),
-                        "line-batch")
+        per_key = store(new.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("least")), "line-batch")
+        grown = self._resharded(per_key.count() + (self.counts.count() if self.counts is not None else 0))
+        return grown._add(new, per_key.select(_shard(grown.shards).alias("shard"), "digest", F.xxhash64("digest").alias("h"), "n_docs", "least"))
+
+    def _resharded(self, keys: int) -> LineIndex:
+        """This index with shards enough for ``keys``: unchanged while they hold at most twice the keys that they are made for."""
+        if self.counts is None:
+            return replace(self, shards=self.shards or _power(keys / self.shard_keys))
+        if keys <= 2 * self.shards * self.shard_keys:
+            return self
+        shards = _power(keys / self.shard_keys)
+        counts = store(self.counts.withColumn("shard", _shard(shards)), "line-counts")
+        return replace(self, counts=counts, filters=self._built(counts), shards=shards)
+
+    def _add(self, new: DataFrame, per_key: DataFrame) -> LineIndex:
         if self.counts is None:
             counts = store(per_key.drop("h"), "line-counts")
-            return LineIndex(new, counts, self._built(counts), self.shards, self.min_chars)
+            return replace(self, refs=new, counts=counts, filters=self._built(counts))
         asked = store(self._ask(per_key), "line-asked")
         maybe = asked.filter("maybe").select("digest", F.col("n_docs").alias("more"), F.col("least").alias("least2"))
         grown = self.counts.join(maybe, "digest", "left").select(
@@ -80,7 +107,7 @@ class LineIndex:
         fresh = asked.filter("not maybe").unionByName(mistaken)
         counts = store(grown.unionByName(fresh.select("shard", "digest", "n_docs", "least")), "line-counts")
         filters = self._changed(fresh.select("shard", "h"), counts, deleting=False)
-        return LineIndex(self.refs.unionByName(new), counts, filters, self.shards, self.min_chars)
+        return replace(self, refs=self.refs.unionByName(new), counts=counts, filters=filters)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index without the documents whose ids are in ``ids``; unknown ids are ignored."""
@@ -96,12 +123,12 @@ class LineIndex:
         same_counts = self.counts.join(touched.select("digest"), "digest", "left_anti").select("shard", "digest", "n_docs", "least")
         counts = store(same_counts.unionByName(left), "line-counts")
         dead = touched.filter("n_docs = 0").select("shard", F.xxhash64("digest").alias("h"))
-        return LineIndex(refs, counts, self._changed(dead, counts, deleting=True), self.shards, self.min_chars)
+        return replace(self, refs=refs, counts=counts, filters=self._changed(dead, counts, deleting=True))
 
     def repeated(self) -> DataFrame:
         """(doc, digests): for each document the keys of which its lines are dropped."""
-        many = self.counts.filter("n_docs > 1").select("digest", "least")
-        lost = self.refs.join(many, "digest").filter(~F.col("doc").eqNullSafe(F.col("least")))
+        many = self.counts.filter("n_docs > 1").select("digest", "least", "n_docs")
+        lost = join_hot(self.refs, many, ["digest"], "n_docs").filter(~F.col("doc").eqNullSafe(F.col("least")))
         return lost.groupBy("doc").agg(F.collect_set("digest").alias("digests"))
 
     def _built(self, counts: DataFrame) -> DataFrame:

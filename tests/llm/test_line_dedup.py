@@ -86,3 +86,20 @@ def test_outgrown_filter_is_rebuilt(spark):
 def test_digest_matches_spark(spark):
     k = spark.sql("select unhex(sha2('ab cd ef gh', 256)) as d").first().d
     assert bytes(k) == hashlib.sha256(b"ab cd ef gh").digest()
+
+
+def test_shards_follow_the_number_of_keys(spark):
+    """An index grown batch by batch splits its shards and equals one made at once; its filters know every key."""
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('this is line number ', id div 2, '\n', 'and one that all share') as text")
+    index, seen = L.LineIndex(shard_keys=4), []
+    for k in range(3):
+        index = index.insert(docs.filter(f"doc_id % 3 = {k}"))
+        seen.append(index.shards)
+        assert index._ask(index.counts.withColumn("h", F.xxhash64("digest"))).filter("not maybe").count() == 0
+    once = L.LineIndex(shard_keys=4).insert(docs)
+    assert seen[0] >= 4 and seen[-1] <= once.shards <= 2 * seen[-1]
+    facts = lambda x: sorted((bytes(r.digest).hex(), r.n_docs, r.least) for r in x.counts.collect())
+    assert facts(index) == facts(once)
+    assert L.LineIndex().insert(docs).shards == 1
+    back = index.delete(docs.filter("doc_id % 3 > 0").select("doc_id"))
+    assert facts(back) == facts(L.LineIndex().insert(docs.filter("doc_id % 3 = 0")))
