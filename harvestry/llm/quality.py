@@ -9,11 +9,17 @@ sketches merge by adding counts, which is what the partial aggregation does; the
 language's sketch and the overall one are merged from the sources' sketches. The
 bins are integers, so the sketch does not depend on merge order and reruns agree.
 
-A group's limits lie at its median plus or minus a multiple of its spread, at
-least a margin. The spread towards a limit is taken from the opposite half of
-the distribution, so junk in the tail does not widen the limit that should
-reject it. Groups under ``MIN_GROUP`` documents use their language's limits, and
-languages under it the overall ones. The limits are then joined to the measures.
+A group's limits are quantiles of its own sketch plus a multiple of its spread and
+a small allowance (``RULES``). Where values lie around a centre, the centre is the
+median and the spread towards a limit is that of the opposite half, so junk in the
+tail does not widen the limit that should reject it. Measures that are zero for
+most texts have no such spread; their limit is a multiple of an upper quantile,
+chosen by the share of junk that it must not be moved by: 75 % for symbols, whose
+junk may be a quarter of a source, 98 % for repeated lines and 95 % for repeated
+words, which clean texts have too. Small groups have uncertain quantiles: a
+group's limits are the mean of its own and its language's, weighted by its
+documents and ``PRIOR``, and a language's likewise with the overall ones, so
+verdicts do not jump at a size. The limits are then joined to the measures.
 """
 
 from __future__ import annotations
@@ -25,10 +31,16 @@ from pyspark.sql import Window
 from harvestry.llm.common import BLANK_CLASS, store, whole_text, words
 
 KEPT_BITS = 7
-MIN_GROUP = 50
-SPREADS = 4
-#: measure -> (margin above the median, margin below it or None for no lower limit)
-MARGINS = {"symbols": (200, None), "word_length": (500, 250), "dup_lines": (350, None), "repeats": (200, None)}
+#: Documents' worth of the wider group's limits in a group's own.
+PRIOR = 200
+#: measure -> ((quantile, allowance, (times, quantile, less quantile or None)) above, the same below or None)
+RULES = {
+    "symbols": ((0, 150, (4, 75, None)), None),
+    "word_length": ((50, 100, (4, 50, 10)), (50, 100, (4, 90, 50))),
+    "dup_lines": ((0, 100, (4, 98, None)), None),
+    "repeats": ((0, 100, (4, 95, None)), None),
+}
+QUANTILES = (10, 50, 75, 90, 95, 98)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -103,41 +115,46 @@ def merge(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def limits(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, docs, low_<measure>, high_<measure>) from the sketches' 10 %, 50 % and 90 % quantiles."""
+    """(groups, docs, low_<measure>, high_<measure>) from the sketches' quantiles by ``RULES``."""
     by = [*groups, "measure"]
     run = Window.partitionBy(*by).orderBy("bin")
     ranked = sketches.select(*by, "bin", F.sum("n").over(run).alias("below"), F.sum("n").over(Window.partitionBy(*by)).alias("all"))
     q = ranked.groupBy(*by).agg(
         F.max("all").alias("docs"),
-        *[F.min(F.when(F.col("below") * 100 >= F.col("all") * p, F.col("bin"))).alias(f"q{p}") for p in (10, 50, 90)])
-    high = low = F.lit(None).cast("long")
-    for k, (above, below) in MARGINS.items():
-        here = F.col("measure") == k
-        high = F.when(here, F.col("q50") + F.greatest(F.lit(above), SPREADS * (F.col("q50") - F.col("q10")))).otherwise(high)
-        if below is not None:
-            low = F.when(here, F.col("q50") - F.greatest(F.lit(below), SPREADS * (F.col("q90") - F.col("q50")))).otherwise(low)
-    q = q.select(*by, "docs", high.alias("high"), low.alias("low"))
-    wide = [f(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}")
-            for k in MARGINS for side, f in (("low", F.max), ("high", F.max))]
+        *[F.min(F.when(F.col("below") * 100 >= F.col("all") * p, F.col("bin"))).alias(f"q{p}") for p in QUANTILES])
+    at = lambda p: F.col(f"q{p}") if p else F.lit(0)
+    wide = []
+    for k, sides in RULES.items():
+        for side, sign, rule in (("low", -1, sides[1]), ("high", 1, sides[0])):
+            if rule:
+                centre, allowance, (times, upper, lower) = rule
+                limit = at(centre) + sign * (allowance + times * (at(upper) - at(lower or 0)))
+                wide.append(F.max(F.when(F.col("measure") == k, limit)).cast("long").alias(f"{side}_{k}"))
+            else:
+                wide.append(F.lit(None).cast("long").alias(f"{side}_{k}"))
     return q.groupBy(*groups).agg(F.max("docs").alias("docs"), *wide)
 
 
+def _shrunk(own: Column, docs: Column, wider: Column) -> Column:
+    """The mean of a limit and the wider group's, weighted by documents; whole numbers, so reruns and SQL agree."""
+    return F.coalesce(F.floor((own * docs + wider * PRIOR) / (docs + PRIOR)).cast("long"), wider)
+
+
 def adaptive_limits(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
-    """One row per (lang, source), columns _limit_<side>_<measure>: limits of the source, of its language or of all, whichever has MIN_GROUP documents."""
+    """One row per (lang, source), columns _limit_<side>_<measure>."""
     own = sketch(stats.select(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"),
                               *[F.col(prefix + s) for s in STATS]), ["_lang", "_source"], prefix)
     own = store(own, "quality-sketch")
     by_lang = merge(own, ["_lang"])
-    cols = [f"{side}_{k}" for k in MARGINS for side in ("low", "high")]
+    cols = [f"{side}_{k}" for k in RULES for side in ("low", "high")]
     named = lambda df, tag: df.select(*[F.col(c).alias(c if c.startswith("_") else f"{tag}_{c}") for c in df.columns])
     a, b = named(limits(own, ["_lang", "_source"]), "own"), named(limits(by_lang, ["_lang"]), "lang")
     b = b.withColumnRenamed("_lang", "_lang2")
-    c = named(limits(merge(by_lang.withColumn("_all", F.lit(0)), ["_all"]), ["_all"]), "all").withColumnRenamed("_all", "_all2")
-    # one row per group on the left, one row per language or one row in all on the right
-    joined = (a.join(b, F.col("_lang").eqNullSafe(F.col("_lang2")), "left")
-              .withColumn("_all", F.lit(0)).join(c, F.col("_all") == F.col("_all2"), "left"))
-    pick = [F.when(F.col("own_docs") >= MIN_GROUP, F.col(f"own_{x}")).when(F.col("lang_docs") >= MIN_GROUP, F.col(f"lang_{x}"))
-            .otherwise(F.col(f"all_{x}")).alias(f"_limit_{x}") for x in cols]
+    overall = limits(merge(by_lang.drop("_lang").withColumn("_all", F.lit(0)), ["_all"]), ["_all"]).select(F.struct(*cols)).scalar()
+    # one row per group, one row per language; the overall limits are one value
+    joined = a.join(b, F.col("_lang").eqNullSafe(F.col("_lang2")), "left").withColumn("_every", overall)
+    pick = [_shrunk(F.col(f"own_{x}"), F.col("own_docs"), _shrunk(F.col(f"lang_{x}"), F.col("lang_docs"), F.col("_every")[x])).alias(f"_limit_{x}")
+            for x in cols]
     return store(joined.select("_lang", "_source", *pick), "quality-limits")
 
 

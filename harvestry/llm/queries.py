@@ -79,11 +79,15 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 6: quality rules ---------------------------------------------------------------------------
 
 def _quality_sql() -> str:
-    b, m = quality.KEPT_BITS, quality.MARGINS
-    limit_cols = ", ".join(
-        f"max(case when measure = '{k}' then q50 + greatest({above}, {quality.SPREADS} * (q50 - q10)) end) as high_{k}, "
-        + (f"max(case when measure = '{k}' then q50 - greatest({below}, {quality.SPREADS} * (q90 - q50)) end)" if below is not None
-           else "cast(null as bigint)") + f" as low_{k}" for k, (above, below) in m.items())
+    b, rules = quality.KEPT_BITS, quality.RULES
+    at = lambda p: f"q{p}" if p else "0"
+    def limit(k, sign, rule):
+        if rule is None:
+            return "cast(null as bigint)"
+        centre, allowance, (times, upper, lower) = rule
+        return f"max(case when measure = '{k}' then {at(centre)} {sign} ({allowance} + {times} * ({at(upper)} - {at(lower or 0)})) end)"
+    limit_cols = ", ".join(f"{limit(k, '+', above)} as high_{k}, {limit(k, '-', below)} as low_{k}" for k, (above, below) in rules.items())
+    quantiles = ", ".join(f"min(bin) filter (below * 100 >= al * {p}) as q{p}" for p in quality.QUANTILES)
     def limits(name, keys):
         by = "".join(k + ", " for k in keys)
         group = ", ".join(keys)
@@ -91,14 +95,13 @@ def _quality_sql() -> str:
 {name}_bins as (select {by}measure, bin, sum(n) as n from bins group by {by}measure, bin),
 {name}_run as (select {by}measure, bin, sum(n) over (partition by {by}measure order by bin) as below,
                       sum(n) over (partition by {by}measure) as al from {name}_bins),
-{name}_q as (select {by}measure, max(al) as docs, min(bin) filter (below * 100 >= al * 10) as q10,
-                    min(bin) filter (below * 100 >= al * 50) as q50, min(bin) filter (below * 100 >= al * 90) as q90
-             from {name}_run group by {by}measure),
+{name}_q as (select {by}measure, max(al) as docs, {quantiles} from {name}_run group by {by}measure),
 {name}_lim as (select {by}max(docs) as docs, {limit_cols} from {name}_q {'group by ' + group if keys else ''})"""
-    sides = [f"{s}_{k}" for k in m for s in ("low", "high")]
-    pick = ", ".join(f"case when o.docs >= {quality.MIN_GROUP} then o.{x} when l.docs >= {quality.MIN_GROUP} then l.{x} else a.{x} end as {x}"
-                     for x in sides)
-    inside = " and ".join(f"not coalesce({k} {'>' if s == 'high' else '<'} {s}_{k}, false)" for k in m for s in ("low", "high"))
+    sides = [f"{s}_{k}" for k in rules for s in ("low", "high")]
+    def shrunk(own, docs, wider):
+        return f"coalesce(floor(({own} * {docs} + {wider} * {quality.PRIOR}) / ({docs} + {quality.PRIOR}))::bigint, {wider})"
+    pick = ", ".join(f"{shrunk('o.' + x, 'o.docs', shrunk('l.' + x, 'l.docs', 'a.' + x))} as {x}" for x in sides)
+    inside = " and ".join(f"not coalesce({k} {'>' if s == 'high' else '<'} {s}_{k}, false)" for k in rules for s in ("low", "high"))
     return rf"""
 with t as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
@@ -116,7 +119,7 @@ m as (select *, case when n_words > 0 then n_symbols * 1000 // n_words end as sy
              case when n_words > 0 then word_chars * 100 // n_words end as word_length,
              case when n_lines > 0 then n_dup_lines * 1000 // n_lines end as dup_lines,
              case when n_words > 0 then n_repeat_words * 1000 // n_words end as repeats from s),
-long as ({" union all ".join(f"select lang, source, '{k}' as measure, {k} as v from m where {k} is not null" for k in m)}),
+long as ({" union all ".join(f"select lang, source, '{k}' as measure, {k} as v from m where {k} is not null" for k in rules)}),
 bins as (select lang, source, measure, (v >> greatest(length(bin(v)) - {b}, 0)) << greatest(length(bin(v)) - {b}, 0) as bin, count(*) as n
          from long group by all),
 {limits('own', ['lang', 'source'])},{limits('lang', ['lang'])},{limits('every', [])},
