@@ -1,19 +1,21 @@
-"""Duplicate substrings by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Duplicate substrings by content-defined blocks and exact counts of window hashes.
+
+This is not the greedy relative Lempel-Ziv parse that the operator is dealt: no
+match is extended word by word and no (reference, position, length) factor is
+made. The README says why. What stands in its place finds the same spans.
 
 Every window of ``window`` words picks an anchor, the ``GRAM``-word gram in it
 with the smallest hash (the last on a tie). The choice depends on the window's
 words alone, so equal windows pick the same anchor at the same place. Windows in
 a row with one anchor form a block: the words from the first window's start to
-the last one's end. The blocks of all documents are the reference; they are
-indexed by (anchor, hash of the whole block).
+the last one's end. The blocks of all documents are indexed by (anchor, hash of
+the whole block).
 
-Parsing a document is a walk over its blocks. While a block is found elsewhere
-in the index, every window in it repeats and the factor goes on. A factor ends
-where a block is found no more but its anchor is: there the match may stop
-inside the block. At these boundaries, and only there, the windows themselves
-are looked up, one representative of each distinct block against all others
-with that anchor. Factors are then at least ``window`` words long by
-construction, and their words are the duplicate spans.
+A block found elsewhere in the index repeats with every window in it. Where only
+its anchor is found elsewhere, a match may stop inside the block: there the
+windows themselves are looked up, one representative of each distinct block
+against all others with that anchor. The words of repeated windows are the
+duplicate spans.
 
 Every lookup is a count by hash with partial aggregation and a join back, so a
 passage shared by a third of all documents is folded before the shuffle and
@@ -147,16 +149,16 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     anchors = (_blocks(keyed, window, False).groupBy("anchor")
                .agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("b0"), F.max("block").alias("b1")).filter("n > 1")
                .select(F.col("anchor").alias("_anchor"), (F.col("b0") == F.col("b1")).alias("pure")))
-    anchors = store(anchors, "rlz-anchors")
+    anchors = store(anchors, "spans-anchors")
     found = _blocks(keyed, window, True).join(anchors, F.col("anchor") == F.col("_anchor")).drop("_anchor")
-    found = store(found, "rlz-blocks")
+    found = store(found, "spans-blocks")
     inside = found.filter("pure").select("id", "h", "first", "last")
     edge = found.filter("not pure")
     distinct = store(edge.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "first", "last")).alias("one")),
-                     "rlz-distinct")
+                     "spans-distinct")
     again = edge.join(distinct.filter("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("id", "h", "first", "last")
     ones = distinct.select("one.id", "one.h", "one.first", "one.last", (F.col("n") == 1).alias("alone"))
-    windows = store(_windows(keyed, ones, window), "rlz-windows")
+    windows = store(_windows(keyed, ones, window), "spans-windows")
     repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
     at_edge = windows.filter("alone").join(repeated, ["w1", "w2"], "left_semi")
     return inside.unionByName(again).unionByName(at_edge.select("id", "h", F.col("at").alias("first"), F.col("at").alias("last")))
