@@ -95,7 +95,8 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _texts_of(rows: DataFrame, docs: DataFrame, text_col: str, run_id: str) -> DataFrame:
     """``rows`` (file, row, run, ...) with their whole normalised text, from ``docs`` or, for earlier runs, from the Parquet files of their locators."""
-    now = rows.filter(F.col("run") == run_id).join(_texts(docs, text_col), ["file", "row"])
+    # a merge join whatever the sizes: a broadcast that only small inputs get would hide what large ones shuffle
+    now = rows.filter(F.col("run") == run_id).hint("merge").join(_texts(docs, text_col), ["file", "row"])
     files = [r.file for r in rows.filter(F.col("run") != run_id).select("file").distinct().collect()]  # input files, of which the driver holds listings anyway
     if not files:
         return now
@@ -121,7 +122,7 @@ def _collided(docs: DataFrame, index: DataFrame, groups: DataFrame, text_col: st
     members = texts.withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.col("salts"))).select("digest", "salt", "norm")
     retained = (texts.filter("is_best").select("digest", F.col("norm").alias("kept_norm"),
                                                F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")))
-    return members.join(retained, ["digest", "salt"]).filter("norm != kept_norm").select("digest").distinct()
+    return members.hint("merge").join(retained, ["digest", "salt"]).filter("norm != kept_norm").select("digest").distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest,

@@ -6,7 +6,8 @@ characters on both sides of it are not ASCII letters or digits; each distinct
 term counts once. Terms whose weight reaches ``threshold`` are strict (one hit
 rejects); lighter ones are soft (several distinct ones add up). The automaton is
 built once per Python worker from the parameter, so the broadcast part does not
-grow with the table, and no row is shuffled.
+grow with the table, and no row is shuffled. A URL of any length takes one pass.
+Vocabularies of any size are a parameter; the default one is short.
 """
 
 from __future__ import annotations
@@ -21,12 +22,27 @@ from harvestry.llm.common import lower_ascii
 
 THRESHOLD = 2
 
-#: Default vocabulary, strict terms.
-STRICT = ("casino", "escort", "hentai", "phishing", "porn", "spam", "viagra", "warez", "xxx")
-#: Default vocabulary, soft terms.
-SOFT = ("ads", "adult", "bet", "bets", "bonus", "cheap", "click", "coupon", "crack", "deal", "farm", "free",
-        "jackpot", "keygen", "loan", "meds", "nude", "pharmacy", "pills", "poker", "prize", "replica", "sex",
-        "slots", "track", "tracker", "win", "winner")
+#: Default vocabulary, strict terms of English, French, German and Spanish.
+STRICT = (
+    "camgirl", "camgirls", "casino", "casinos", "cialis", "crackz", "escort", "escorts", "hentai", "malware", "milf", "phishing",
+    "porn", "pornos", "porno", "ransomware", "serialz", "sexcam", "sexcams", "spam", "spyware", "viagra", "warez", "xxx",
+    "erotique", "pornographie", "putes",
+    "erotik", "kasino", "pornografie", "sexkontakte", "spielcasino",
+    "erotico", "pornografia", "putas",
+)
+#: Default vocabulary, soft terms of English, French, German and Spanish.
+SOFT = (
+    "ads", "adult", "bet", "bets", "betting", "bingo", "blackjack", "bonus", "bookmaker", "cams", "cash", "cheap", "click", "coupon",
+    "coupons", "crack", "dating", "deal", "deals", "debt", "discount", "farm", "free", "gambling", "jackpot", "keygen", "loan", "loans",
+    "lottery", "lotto", "meds", "nsfw", "nude", "nudes", "payday", "pharmacy", "pills", "poker", "prize", "prizes", "promo", "replica",
+    "roulette", "sale", "sex", "slot", "slots", "torrent", "torrents", "track", "tracker", "voucher", "wager", "win", "winner", "winners",
+    "argent", "cadeau", "gagnant", "gagner", "gratuit", "gratuite", "loterie", "pari", "pharmacie", "pilules", "publicite", "remise",
+    "rencontres", "sexe", "soldes",
+    "apotheke", "billig", "geld", "gewinn", "gewinner", "gewinnspiel", "gratis", "gutschein", "kostenlos", "kredit", "lotterie", "nackt",
+    "pillen", "rabatt", "werbung", "wette", "wetten",
+    "apuesta", "apuestas", "barata", "barato", "citas", "descuento", "desnuda", "dinero", "farmacia", "ganador", "ganar", "loteria",
+    "ofertas", "pastillas", "premio", "premios", "prestamo", "prestamos", "regalo",
+)
 VOCABULARY = {t: THRESHOLD for t in STRICT} | {t: 1 for t in SOFT}
 
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -92,8 +108,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = (), voc
 
     ``rules`` holds (allow | block, host, path prefix). A null URL, or one
     without ``://``, has empty host and path, so no rule with a host fits it; a
-    null URL has no vocabulary hits and is allowed. Repeated rows are judged
-    each on their own.
+    null URL has no vocabulary hits and is allowed. Repeated rows, and rows
+    without an id, are judged each on their own. Other columns are ignored,
+    whatever their names.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     parts = r"://([^/?#]*)([^?#]*)"

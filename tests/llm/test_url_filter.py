@@ -35,3 +35,21 @@ def test_judgement(spark):
         (8, "", "", None, "block"), (9, "free.net", "", None, "block"), (9, "free.net", "", None, "block"), (10, "", "", None, "allow"),
         (11, "notexample.org", "", None, "allow"), (None, "a.net", "/b", None, "allow")]
     assert U.judge_urls(pages.limit(0), URL_RULES).collect() == []
+
+
+def test_terms_of_four_languages(spark):
+    rows = [(1, "http://a.net/gratuit/gagner"), (2, "http://a.net/kostenlos"), (3, "http://a.net/apuestas?x=premios"), (4, "http://a.net/erotik"),
+            (5, "http://a.net/de/fr/es/en/page/ref")]
+    got = {r.page_id: r.verdict for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+    assert not set(U.STRICT) & set(U.SOFT) and len(set(U.VOCABULARY)) == len(U.STRICT) + len(U.SOFT)
+
+
+def test_large_vocabulary_and_very_long_url(spark):
+    """100,000 terms with weights of their own, and a URL of three million characters."""
+    vocabulary = {f"t{i}": 1 + i % 4 for i in range(100_000)}
+    url = "http://a.net/" + "x/" * 1_500_000 + "t99997-T3/t5x?t8#t0"
+    hits = U.vocabulary_hits(url, U.automaton(sorted(vocabulary)))
+    assert hits == {"t99997", "t3", "t8", "t0"}
+    (r,) = U.judge_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), (), vocabulary, 4).collect()
+    assert (r.n_strict, r.n_soft, r.verdict) == (1, 3, "block")
