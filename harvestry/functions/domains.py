@@ -64,6 +64,7 @@ INT_FEATURES = {"fertilizer_used", "irrigation_used", "days_to_harvest", "agro_i
 TARGET = "yield_hg_ha"
 
 # Column order of the merged analysis table.
+# --- fixed values: columns of the merged table and of a scenario's conditions --
 MERGED_COLUMNS = [
     "crop", "year", "region", "soil_type", "weather_condition", "rainfall_mm",
     "temperature_celsius", "fertilizer_used", "irrigation_used", "days_to_harvest",

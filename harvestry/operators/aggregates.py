@@ -39,8 +39,8 @@ def yearly_trend(df: DataFrame, year: str, value: str) -> DataFrame:
 
 
 def group_first(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """A5: first non-null value per group. The values are constant within a
-    group here, so the deterministic ``min`` stands in for ``first``."""
+    """A5: one non-null value per group. Rows have no order here, so it is the
+    smallest, which is the first wherever a group's values are constant."""
     return df.groupBy(*by).agg(*[F.min(v).alias(v) for v in values])
 
 
@@ -131,8 +131,3 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column with ``is_constant`` (no variance, nulls ignored)."""
     lf = long_format(df, columns)
     return lf.groupBy("column").agg((F.min("value") == F.max("value")).alias("is_constant"))
-
-
-def null_counts(df: DataFrame) -> list[Column]:
-    """Q1 helper: one aggregate column per input column counting nulls."""
-    return [F.sum(F.col(c).isNull().cast("long")).alias(c) for c in df.columns]
