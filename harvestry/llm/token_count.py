@@ -4,7 +4,9 @@ A flat file is a run of token ids with an end-of-document id after each
 document and nothing that says where documents lie. It is stored as blocks of a
 fixed number of ids (file, block, payload), whatever documents they cut, in a
 Parquet table: any store that Spark reads serves, and a lost task is written
-again. Raw ``.bin`` files come in through ``blocks_from_files``.
+again. Raw ``.bin`` files of any length come in through ``blocks_from_files``, in
+fixed-length splits. A null or empty text has no tokens before its separator;
+repeated rows are written each; other columns are ignored, whatever their names.
 
 Each block is searched for the separator in one vectorised comparison and gives
 one summary row. A prefix scan over the summaries finds, for every block, how
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.common import schema_of, store
 from harvestry.llm.tokens import WORD_BPE, worker_encoder
+from harvestry.llm.warc import filesystem
 
 BLOCK_TOKENS = 1 << 16
 RUN = 4096
+#: Blocks of a raw file that one task reads (8 MB of two-byte ids).
+SPLIT_BLOCKS = 64
 
 
 def write_flat(docs: DataFrame, separator: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE,
@@ -65,24 +70,33 @@ def write_flat(docs: DataFrame, separator: int, id_col: str = "doc_id", text_col
     return store(slim.mapInArrow(run, schema), "flat-tokens")
 
 
-def blocks_from_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, tokens) of raw token files under ``path``, read in fixed-size records by Spark's own reader.
+def blocks_from_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS,
+                      split_blocks: int = SPLIT_BLOCKS) -> DataFrame:
+    """(file, block, tokens) of raw token files under ``path``, in fixed-length splits of ``split_blocks`` blocks.
 
-    ``file`` is the path. Each file must hold a whole number of tokens and fit Spark's binary reader (2 GB).
+    ``file`` is the path. Spark lists the files without reading them; each split is
+    read by a task of its own through pyarrow's file systems, so a file may have any
+    length. A file that ends inside a token is an error; an empty one has no blocks.
     """
     step = token_bytes * block_tokens
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    last = F.floor((F.col("length") - 1) / (step * split_blocks)).cast("long")
+    splits = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("split"))
+    tasks = max(splits.count(), 1)  # a few bytes each: a plain shuffle would merge them into one task
 
     def run(batches):
         for b in batches:
-            for p, content in zip(b.column("path"), b.column("content")):
-                data = content.as_buffer()
-                starts = range(0, data.size, step)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p.as_py()] * len(starts)), pa.array(list(range(len(starts))), pa.int64()),
-                     pa.array([data.slice(s, min(step, data.size - s)).to_pybytes() for s in starts], pa.binary())],
-                    names=["file", "block", "tokens"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, tokens binary")
+            for p, length, split in zip(*(b.column(c).to_pylist() for c in ("path", "length", "split"))):
+                if length % token_bytes:
+                    raise ValueError(f"{p} does not hold a whole number of tokens")
+                files, place = filesystem(p)
+                with files.open_input_file(place) as f:
+                    for block in range(split * split_blocks, min((split + 1) * split_blocks, -(-length // step))):
+                        data = f.read_at(min(step, length - block * step), block * step)
+                        yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([block], pa.int64()), pa.array([data], pa.binary())],
+                                                         names=["file", "block", "tokens"])
+
+    return splits.repartition(min(tasks, 1 << 16)).mapInArrow(run, "file string, block long, tokens binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int, dtype: str) -> DataFrame:

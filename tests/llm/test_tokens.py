@@ -58,8 +58,21 @@ def test_raw_files(spark):
         ids.tofile(f"{folder}/{name}")
         at = np.flatnonzero(ids == 5)
         want[name] = np.diff(np.concatenate([[-1], at])) - 1, len(ids) - (at[-1] + 1 if len(at) else 0)
-    blocks = C.blocks_from_files(spark, folder, 2, 16)
+    blocks = C.blocks_from_files(spark, folder, 2, 16, split_blocks=3)
+    assert blocks.rdd.getNumPartitions() == 22  # 32 blocks a file in 11 splits
     got = C.count_tokens(blocks, 5, run=4).collect()
     for name, (lengths, rest) in want.items():
         own = sorted((r.nth, r.n_tokens, r.closed) for r in got if r.file.endswith(name))
         assert own == [(i, n, True) for i, n in enumerate(lengths)] + ([(len(lengths), rest, False)] if rest else [])
+
+
+def test_a_torn_raw_file_is_an_error(spark):
+    import os
+
+    import pytest
+    folder = shared_path(spark, "torn").removeprefix("file://")
+    os.makedirs(folder)
+    with open(f"{folder}/a.bin", "wb") as f:
+        f.write(b"12345")
+    with pytest.raises(Exception, match="whole number of tokens"):
+        C.blocks_from_files(spark, folder, 2, 16).collect()
