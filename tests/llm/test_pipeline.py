@@ -43,3 +43,18 @@ def test_stages(spark):
     check(packed, texts, 4096)
     for s in (good, once, near, mixed):
         assert s.columns == docs.columns
+
+
+def test_run_on_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_messy_rows_go_through_all_stages(spark, messy_rows, tmp_path):
+    """Nulls in every column, repeated rows, empty and long texts: what good, single documents remain is packed whole."""
+    spark.createDataFrame([(*r, None) for r in messy_rows], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    rows = C.run(spark, str(tmp_path)).collect()
+    assert rows and {r.doc_id for r in rows} <= {r[0] for r in messy_rows if r[1] and len(r[1].split()) >= 10}
+    for doc in {r.doc_id for r in rows}:
+        assert sum(r.length for r in rows if r.doc_id == doc) % next(r.doc_tokens for r in rows if r.doc_id == doc) == 0
