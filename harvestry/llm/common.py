@@ -49,19 +49,19 @@ def schema_of(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
 
 
-#: Groups that ``join_hot`` may broadcast; rows that a group must have to be one of them.
-HOT_GROUPS, HOT_ROWS = 1 << 16, 10_000
+#: A group with more than this part of all matching rows is hot, so there are fewer of them than this.
+HOT_GROUPS = 1 << 13
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """``rows`` joined to ``groups``, one row per key, whose column ``size`` is the number of rows that match it.
 
-    A group of more than a ``HOT_GROUPS``-th of all matching rows is joined by
-    broadcast, as there are fewer than ``HOT_GROUPS`` of these whatever the input;
-    the others, none of which is hot, go through the shuffle.
+    Hot groups are joined by broadcast, as there are fewer than ``HOT_GROUPS`` of
+    these whatever the input; the others go through the shuffle, none of them with
+    more than a ``HOT_GROUPS``-th of the rows. The share alone decides, so plans are
+    alike at every size.
     """
-    share = groups.agg(F.sum(size)).scalar() / HOT_GROUPS
-    is_hot = (F.col(size) > HOT_ROWS) & (F.col(size) > share)
+    is_hot = F.col(size) > groups.agg(F.sum(size)).scalar() / HOT_GROUPS
     hot = F.broadcast(groups.filter(is_hot))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(~is_hot), keys)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").hint("merge").join(groups.filter(~is_hot), keys)
     return rows.join(hot, keys).unionByName(cold)

@@ -85,7 +85,7 @@ def test_long_conversations_cross_blocks_and_parts(spark, monkeypatch):
 
 def test_hot_nodes(spark, monkeypatch):
     """Many equal conversations, and one node with many children."""
-    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_GROUPS", 3)
     rows = [(c, t, "user", "same") for c in range(300) for t in range(3)] + [(c, t, "user", "same" if t < 9 else f"{c}") for c in range(1000, 1100) for t in range(11)]
     check(spark, rows)
 

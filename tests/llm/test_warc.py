@@ -44,8 +44,8 @@ def test_round_trip_equals_plain_grouping(spark, settings):
     assert sorted(got, key=str) == expected()
 
 
-def test_groups_that_are_hot_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
+def test_groups_that_are_not_hot_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_GROUPS", 2)
     assert sorted((tuple(r) for r in W.round_trip(pages(spark, ROWS).coalesce(1)).collect()), key=str) == expected()
 
 
