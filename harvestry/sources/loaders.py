@@ -35,7 +35,7 @@ def _decode_name(name: str) -> str:
         return name
 
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType,
+def read_delimited(spark: SparkSession, path: str, schema: StructType | None = None,
                    header: bool = True, sep: str = ",") -> DataFrame:
     """Delimited scan with header. A file whose text is all valid UTF-8 is
     UTF-8, any other is Latin-1, whatever single values of it would pass for.
@@ -43,7 +43,10 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType,
     The bytes are read as Latin-1, which loses nothing. One aggregate finds the
     files with an invalid value; they are joined back by path, by broadcast: at
     most a row per file, of which the driver holds the listing anyway. Nothing
-    runs before the result is asked for. A genuine U+FFFD stays."""
+    runs before the result is asked for. A genuine U+FFFD stays. Without a
+    schema all columns are text, named by the header (without one, by Spark)."""
+    if schema is None:
+        schema = all_text_schema(spark, path, sep) if header else spark.read.option("sep", sep).csv(path).schema
     df = (spark.read.option("header", header).option("sep", sep).option("encoding", "ISO-8859-1")
           .option("mode", "PERMISSIVE").schema(schema).csv(path))
     texts = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
