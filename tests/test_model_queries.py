@@ -97,3 +97,23 @@ def test_pca(run, table):
         have = sorted(zip(scores.k, scores[f"pc{j + 1}"].abs().round(5)))
         assert [w[0] for w in want] == [h[0] for h in have] and np.allclose([w[1] for w in want], [h[1] for h in have], atol=2e-5)
     assert len(run("pca_outputs")) == len(D.FEATURES) ** 2
+
+
+def test_a_booster_asked_for_alone_is_fitted_alone(c, monkeypatch):
+    """Without errors by fold no other booster and no fold is fitted; the trees are those of the joint fit."""
+    from harvestry.operators import models as M
+    from harvestry.plans.suite_models import Training
+
+    few = {n: M.ModelSpec(n, "gbt", M.SPECS[n].params | {"n_estimators": 2}) for n in M.BOOSTERS}
+    for n, spec in few.items():
+        monkeypatch.setitem(M.SPECS, n, spec)
+    t, joint = Training(c), M.fit_boosters
+    t.__dict__ |= {k: getattr(training(c), k) for k in ("table", "parts", "fold", "binned")}
+    monkeypatch.setattr(M, "fit_boosters", lambda *_: pytest.fail("the joint fit"))
+    alone = t.fit("xgboost")[0]
+    monkeypatch.setattr(M, "fit_boosters", joint)
+    both = Training(c)
+    both.__dict__ |= {k: getattr(t, k) for k in ("table", "parts", "fold", "binned")}
+    assert both.cv("xgboost").first().n_folds == 5
+    for a, b in zip(alone.trees, both.fit("xgboost")[0].trees):
+        assert np.array_equal(a[0], b[0]) and np.allclose(a[3], b[3])

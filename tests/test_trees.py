@@ -183,3 +183,58 @@ def test_forest_error_on_the_fold_left_out(spark):
         out = np.arange(len(y)) % 5 == learner.without
         e = y[out] - T.TreeModel.of(trees, 0.0, growth, edges).predict_array(X[out])
         assert abs(T.forest_error(blocks, learner, trees, 4) - np.sqrt(np.mean(e * e))) < 1e-9
+
+
+def test_a_level_is_one_job_and_blocks_are_full(spark):
+    """A booster's pass is one job without planning; blocks hold ``block_rows`` rows however the rows arrive."""
+    X, y = data(3000)
+    df = table(spark, X, y).repartition(1)
+    blocks = T.write_blocks(df, T.bin_edges(df, 4), block_rows=1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    try:
+        odd = T.write_blocks(df, T.bin_edges(df, 4), block_rows=1000)
+        assert sorted(len(r.y) // 8 for r in odd.collect()) == [1000, 1000, 1000]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    totals, sc, growth = T.fold_totals(blocks), spark.sparkContext, T.Growth(trees=6, depth=4, rate=0.3)
+    sc.setJobGroup("boost", "")
+    try:
+        ((_, trees),), _ = T.fit_boosters(blocks, [T.Learner(growth)], 4, totals, local_rows=40)
+    finally:
+        sc._jsc.sc().clearJobGroup()
+    assert max((t.left < 0).sum() for t in trees) > 8
+    assert len(sc.statusTracker().getJobIdsForGroup("boost")) <= growth.trees * growth.depth + 4
+
+
+def test_histograms_added_by_the_driver_or_shuffled(spark, monkeypatch):
+    X, y = data(600, 5, 40, 11)
+    blocks = T.write_blocks(table(spark, X, y), T.bin_edges(table(spark, X, y), 5), block_rows=100)
+    totals, fits = T.fold_totals(blocks), []
+    growths = [T.Growth(trees=2, depth=5, rate=0.3, leaves=9, min_rows=3), T.Growth(trees=2, depth=4, rate=0.3)]
+    for most, nodes in ((1 << 30, 2048), (0, 2048), (0, 2), (8000, 2048)):  # the last goes from one form to the other
+        monkeypatch.setattr(T, "DRIVER_BYTES", most)
+        monkeypatch.setattr(T._portions, "__defaults__", (nodes,))
+        fits.append(T.fit_boosters(blocks, [T.Learner(g) for g in growths], 5, totals, local_rows=10)[0])
+    for other in fits[1:]:
+        for (_, a), (_, b) in zip(fits[0], other):
+            assert all(np.array_equal(s.left, t.left) and np.allclose(s.value, t.value) for s, t in zip(a, b))
+
+
+def test_reachable_splits_are_those_of_best_first_growth():
+    """Children may gain more than their parents; what is left out is never made."""
+    rng, kept = np.random.default_rng(5), 0
+    for _ in range(50):
+        gains = rng.random(31)
+        least = [np.inf] * 31
+        for i in range(15):
+            least[2 * i + 1] = least[2 * i + 2] = min(least[i], gains[i])
+        queue, made = [0], set()
+        while len(made) < 7:
+            i = max(queue, key=lambda i: gains[i])
+            queue.remove(i)
+            made.add(i)
+            queue += [c for c in (2 * i + 1, 2 * i + 2) if c < 31]
+        may = T._reachable(gains, np.array(least), 8)
+        assert made <= set(np.flatnonzero(may).tolist())
+        kept += may.sum()
+    assert kept < 0.8 * 50 * 31
