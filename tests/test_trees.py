@@ -238,3 +238,23 @@ def test_reachable_splits_are_those_of_best_first_growth():
         assert made <= set(np.flatnonzero(may).tolist())
         kept += may.sum()
     assert kept < 0.8 * 50 * 31
+
+
+def test_masks_give_the_scores_of_steps():
+    """Trees of 1 to 64 leaves, cuts that rows hit exactly, infinite and missing values: the same bits as walking down."""
+    rng, trees = np.random.default_rng(2), []
+    for leaves in (1, 2, 31, 63, 64):
+        left, feature, cut, ends = [-1], [0], [np.inf], [0]
+        while len(ends) < leaves:
+            i = ends.pop(rng.integers(len(ends)))
+            left[i], feature[i], cut[i] = len(left), int(rng.integers(5)), float(rng.integers(-3, 4))
+            ends += [len(left), len(left) + 1]
+            left, feature, cut = left + [-1, -1], feature + [0, 0], cut + [np.inf, np.inf]
+        trees.append((np.array(feature, np.int32), np.array(cut), np.array(left, np.int32), rng.normal(size=len(left))))
+    model = T.TreeModel(trees, 0.5, False, np.zeros(5), {})
+    x = rng.integers(-4, 5, (5000, 5)).astype(float)
+    x[rng.random(x.shape) < 0.02] = np.nan
+    x[rng.random(x.shape) < 0.02] = np.inf
+    assert np.array_equal(model._predict_by_masks(x), model._predict_by_steps(x))
+    assert np.array_equal(model.predict_array(x), model._predict_by_steps(x)) and model._masks is not None
+    assert len(model.predict_array(x[:0])) == 0
