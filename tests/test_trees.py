@@ -258,3 +258,13 @@ def test_masks_give_the_scores_of_steps():
     assert np.array_equal(model._predict_by_masks(x), model._predict_by_steps(x))
     assert np.array_equal(model.predict_array(x), model._predict_by_steps(x)) and model._masks is not None
     assert len(model.predict_array(x[:0])) == 0
+
+
+def test_a_sample_smaller_than_the_limit_is_grown_too(spark):
+    """The rows are more than one task finishes, the bootstrap's distinct rows are fewer."""
+    X, y = data(500, 5, 60, 7)
+    blocks = T.write_blocks(table(spark, X, y), T.bin_edges(table(spark, X, y), 5))
+    growth = T.Growth(trees=4, depth=20, min_rows=5)
+    a, b = (T.fit_forests(blocks, [T.Learner(growth)], 5, T.fold_totals(blocks), n)[0] for n in (400, 1000))
+    assert min(len(t.left) for t in a) > 50
+    assert all(np.array_equal(s.left, t.left) and np.allclose(s.value, t.value) for s, t in zip(a, b))
