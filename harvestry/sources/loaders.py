@@ -40,8 +40,9 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | None = N
     """Delimited scan with header. A file whose text is all valid UTF-8 is
     UTF-8, any other is Latin-1, whatever single values of it would pass for.
 
-    The bytes are read as Latin-1, which loses nothing. One aggregate finds the
-    files with an invalid value; they are joined back by path, by broadcast: at
+    The bytes are read as Latin-1, which loses nothing. One aggregate over the
+    plain lines (delimiters are ASCII, so a line is valid where its values are)
+    finds the files with an invalid one; they are joined back by path, by broadcast: at
     most a row per file, of which the driver holds the listing anyway. Nothing
     runs before the result is asked for. A genuine U+FFFD stays. Without a
     schema all columns are text, named by the header (without one, by Spark)."""
@@ -53,10 +54,8 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | None = N
     if not texts:
         return df
     raw = df.select("*", F.col("_metadata.file_path").alias("__file"))
-    valid = F.lit(True)
-    for name in texts:
-        valid = valid & F.coalesce(F.is_valid_utf8(_as_utf8(F.col(f"`{name}`"))), F.lit(True))
-    latin = raw.groupBy("__file").agg(F.bool_and(valid).alias("utf8")).where("not utf8").select(F.col("__file").alias("__latin"))
+    lines = spark.read.text(path).select(F.is_valid_utf8("value").alias("valid"), F.col("_metadata.file_path").alias("__latin"))
+    latin = lines.groupBy("__latin").agg(F.bool_and("valid").alias("utf8")).where("not utf8").select("__latin")
     named = raw.join(F.broadcast(latin), F.col("__file") == F.col("__latin"), "left")
     return named.select(*[(F.when(F.col("__latin").isNull(), _as_utf8(F.col(f"`{f.name}`"))).otherwise(F.col(f"`{f.name}`")).alias(f.name)
                            if f.name in texts else F.col(f"`{f.name}`")) for f in schema.fields])

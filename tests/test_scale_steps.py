@@ -10,6 +10,7 @@ from harvestry.functions import domains as D
 from harvestry.operators import models as M
 from harvestry.operators import scoring as R
 from harvestry.sources import fixtures as FX
+from harvestry.sources import loaders as L
 
 MODEL = R.LinearModel(FX.coef_rows(), FX.COEF_INTERCEPT)
 
@@ -85,3 +86,12 @@ def test_codegen_limit_follows_the_jit():
         s = Session(master, **given)
         fit_codegen_to_jit(s)
         assert s.changed == want, (master, given)
+
+
+def test_encoding_is_found_without_a_second_parse(spark, tmp_path):
+    """F32: the lines tell a file's encoding; the fields are parsed once."""
+    (tmp_path / "a.csv").write_bytes("name,n\nCôte,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,n\nCôte,2\nplain,3\n".encode("latin-1"))
+    df = L.read_delimited(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("Côte", "1"), ("Côte", "2"), ("plain", "3")]
+    assert plan(df).count("] csv") == 1 and plan(df).count("] text") == 1
