@@ -79,12 +79,9 @@ def stream_decide(spark: SparkSession, source_dir: str, schema: StructType, mode
     parts = {"rankings": lambda df: recommend_crops(df, model, ids), "best": lambda df: optimize_best(df, model, grid_keep)}
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()  # read once for the two sinks
-        try:
-            for name, decide in parts.items():
-                decide(rows).write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch_id={batch_id}")
-        finally:
-            rows.unpersist()
+        # each sink reads the batch's files, which takes less than keeping their rows in memory
+        for name, decide in parts.items():
+            decide(batch).write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
