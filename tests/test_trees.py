@@ -185,6 +185,34 @@ def test_forest_error_on_the_fold_left_out(spark):
         assert abs(T.forest_error(blocks, learner, trees, 4) - np.sqrt(np.mean(e * e))) < 1e-9
 
 
+def test_small_learners_need_few_jobs_and_no_fold_forest_is_collected(spark, monkeypatch):
+    """Boosters on few rows and their folds take a job for all trees, the same as by passes; errors of fold forests without their trees."""
+    X, y = data(2000, 5, 40, 11)
+    edges = T.bin_edges(table(spark, X, y), 5)
+    blocks = T.write_blocks(table(spark, X, y), edges, F.col("f"), block_rows=250)
+    totals, sc = T.fold_totals(blocks), spark.sparkContext
+    growths = [T.Growth(trees=9, depth=5, rate=0.3, leaves=9, min_rows=40, features=0.8), T.Growth(trees=7, depth=4, rate=0.3, l2=1.0, min_weight=40.0, rows=0.8)]
+    learners = [T.Learner(g, k) for g in growths for k in (None, 0, 3)]
+    sc.setJobGroup("alone", "")
+    try:
+        fits, scored = T.fit_boosters(blocks, learners, 5, totals)
+        errors = T.held_out_errors(scored, learners, 5)
+    finally:
+        sc._jsc.sc().clearJobGroup()
+    assert len(sc.statusTracker().getJobIdsForGroup("alone")) <= 6
+    passes, scored = T.fit_boosters(blocks, learners, 5, totals, local_rows=10)
+    for learner, (base, a), (other, b) in zip(learners, fits, passes):  # the same trees; their nodes may be numbered otherwise
+        one, two = (T.TreeModel.of(t, m, learner.growth, edges) for t, m in ((a, base), (b, other)))
+        assert [len(t.left) for t in a] == [len(t.left) for t in b] and np.abs(one.predict_array(X) - two.predict_array(X)).max() < 1e-8
+    by_passes = T.held_out_errors(scored, learners, 5)
+    assert sorted(errors) == sorted(by_passes) == [1, 2, 4, 5] and all(abs(errors[i] - by_passes[i]) < 1e-8 for i in errors)
+    forests = [T.Learner(T.Growth(trees=5, depth=5, min_rows=40), k) for k in (0, 3, 9)]
+    want = [T.forest_error(blocks, x, trees, 5) for x, trees in zip(forests, T.fit_forests(blocks, forests, 5, totals, 400))]
+    monkeypatch.setattr(T, "forest_error", lambda *_: pytest.fail("a fold's forest on the driver"))
+    found = T.forest_errors(blocks, forests, 5, totals)
+    assert want[2] is None and sorted(found) == [0, 1] and all(abs(found[i] - want[i]) < 1e-8 for i in found)
+
+
 def test_a_level_is_one_job_and_blocks_are_full(spark):
     """A booster's pass is one job without planning; blocks hold ``block_rows`` rows however the rows arrive."""
     X, y = data(3000)
