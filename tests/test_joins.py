@@ -24,3 +24,18 @@ def test_constants_are_pinned():
     assert D.BENCHMARK_YIELD_HG_HA == {"Maize": 99256, "Rice": 86232, "Soybean": 29615, "Wheat": 31673}
     assert D.SOIL_QUALITY_SCORE == {"Loam": 5, "Silt": 4, "Clay": 3, "Peaty": 3, "Chalky": 2, "Sandy": 1}
     assert D.GRID_DAYS == list(range(60, 210, 10)) and D.SWEEP_RAINFALL == (100, 1550, 50) and D.SWEEP_TEMPERATURE == (5, 41, 1)
+
+
+def test_scenarios_are_joined_without_sorting(spark, catalog):
+    """Where the parts are not broadcast, their partitions are hashed: the observations are neither sorted nor spilled."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.scenarios.select(F.xxhash64("scenario_id", "soil_type").alias("h"))
+        n = len(df.collect())
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert n == catalog.scenarios.count() and "ShuffledHashJoin" in final and "SortMergeJoin" not in final
