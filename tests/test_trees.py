@@ -296,3 +296,42 @@ def test_a_sample_smaller_than_the_limit_is_grown_too(spark):
     a, b = (T.fit_forests(blocks, [T.Learner(growth)], 5, T.fold_totals(blocks), n)[0] for n in (400, 1000))
     assert min(len(t.left) for t in a) > 50
     assert all(np.array_equal(s.left, t.left) and np.allclose(s.value, t.value) for s, t in zip(a, b))
+
+
+def test_a_large_forest_stays_off_the_driver(spark, monkeypatch, tmp_path):
+    """No tree is collected for a model above the limit nor for errors by fold; its scores, importances and saved form are those
+    of the trees in memory."""
+    X, y = data(700, 5, 60, 13)
+    df = table(spark, X, y)
+    edges = T.bin_edges(df, 5)
+    blocks = T.write_blocks(df, edges, T.F.col("label").cast("int") % 3, block_rows=100)
+    growth, totals = T.Growth(trees=7, depth=12, min_rows=3), T.fold_totals(blocks)
+    folds = [T.Learner(growth, k) for k in (0, 1)]
+    trees = T.fit_forests(blocks, [T.Learner(growth), *folds], 5, totals, 150)
+    held = T.TreeModel.of(trees[0], 0.0, growth, edges)
+    errors = [T.forest_error(blocks, x, more, 5) for x, more in zip(folds, trees[1:])]
+    monkeypatch.setattr(T, "DRIVER_NODES", 10)
+    monkeypatch.setattr(T, "FOREST_ROWS", 64)
+    monkeypatch.setattr(T.ForestFiles, "collected", lambda *_: pytest.fail("a large forest on the driver"))
+    found = T.forest_errors(blocks, folds, 5, totals, 150)
+    assert all(abs(found[i] - e) < 1e-9 for i, e in enumerate(errors))
+    for local_rows in (150, 1 << 19):  # finished in portions, or each by a task that has all rows
+        (files,) = T.grow_forests(blocks, [T.Learner(growth)], 5, totals, local_rows)
+        model = T.forest_model(files, growth, edges)
+        assert isinstance(model, T.StoredForest) and np.allclose(model.importances, held.importances, atol=1e-6)
+        assert model.settings == held.settings
+        got = {tuple(r.features): r.prediction for r in model.transform(df).select("features", "prediction").collect()}
+        assert max(abs(got[tuple(x)] - p) for x, p in zip(X, held.predict_array(X))) < 1e-9
+    model.save(spark, str(tmp_path / "model"))
+    assert np.allclose(T.TreeModel.load(spark, str(tmp_path / "model")).predict_array(X), held.predict_array(X))
+
+
+def test_trees_are_finished_a_few_at_a_time(spark, monkeypatch):
+    """The rows of one portion are dropped before the next is sent."""
+    X, y = data(600, 5, 60, 17)
+    blocks = T.write_blocks(table(spark, X, y), T.bin_edges(table(spark, X, y), 5), block_rows=100)
+    sent, finish, held = [], T.finish_nodes, spark._jsc.sc().env().mapOutputTracker()
+    monkeypatch.setattr(T, "NODES_A_CORE", 0)
+    monkeypatch.setattr(T, "finish_nodes", lambda *a: sent.append(held.shuffleStatuses().size()) or finish(*a))
+    (files,) = T.grow_forests(blocks, [T.Learner(T.Growth(trees=6, depth=12, min_rows=3))], 5, T.fold_totals(blocks), 150)
+    assert len(sent) == 6 and max(sent) <= sent[0] and len(files.nodes) == 6
